@@ -29,8 +29,8 @@ def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Co
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     offsets = sizes.withColumn("__offset", F.sum("__n").over(w_off) - F.col("__n")).drop("__n")
     w_in = Window.partitionBy(*part, "__bucket").orderBy(*order)
-    ranked = b.withColumn("__r", F.row_number().over(w_in))
+    ranked = b.withColumn("__rin", F.row_number().over(w_in))
     keys = list(partition) + ["__bucket"]
     return (ranked.join(offsets, keys, "inner")
-            .withColumn(out, (F.col("__offset") + F.col("__r")).cast("long"))
-            .drop("__bucket", "__offset", "__r"))
+            .withColumn(out, (F.col("__offset") + F.col("__rin")).cast("long"))
+            .drop("__bucket", "__offset", "__rin"))

@@ -93,7 +93,9 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
         try:
             best = cv.fit(train_f).bestModel
             m = _test_metrics(best.transform(test_f))
-        except Exception:  # noqa: BLE001 - a failed fit scores 0, as in the reference's search
+        except Exception as exc:  # noqa: BLE001 - a failed fit scores 0, as in the reference's search
+            import logging
+            logging.getLogger("athlos").warning("model %s failed: %s", name, str(exc)[:2000])
             best, m = None, {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
         fitted[name] = best
         rows.append((MODEL_TITLES[name], name, i, float(m["accuracy"]), float(m["precision"]),

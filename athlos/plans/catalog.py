@@ -389,3 +389,60 @@ def q_indicators(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
+
+
+# ------------------------------------------------------------------------------------- machine learning
+# Registered ML runs: the reference's folds (5) and draws (10); tree counts scaled to a tenth for local runs.
+_BUNDLES: dict = {}
+
+
+def trained(spark: SparkSession, sf: str):
+    from ..ml.train import train_compare
+    key = (id(spark), sf)
+    if key not in _BUNDLES:
+        _BUNDLES[key] = train_compare(sessions(spark, sf), models=("logreg", "forest"), tree_scale=0.1)
+    return _BUNDLES[key]
+
+
+def q_smote_balance(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    from ..ml.balance import smote
+    e = read_table(spark, sf, "embeddings")
+    d = e.select(F.col("vec_id"), F.col("label").cast("long").alias("label"),
+                 array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    b = smote(d, "label", "features", "vec_id", k=5, bucket_length=0.5)
+    return out(b.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                      F.sum(F.col("is_synthetic").cast("long")).alias("synthetic")))
+
+
+def q_train_compare(spark, sf):
+    return out(trained(spark, sf).comparison)
+
+
+def q_feature_importance(spark, sf):
+    from ..ml.train import feature_importance
+    return out(feature_importance(trained(spark, sf)))
+
+
+def q_score_batch(spark, sf):
+    from ..ml.score import score_batch
+    return out(score_batch(trained(spark, sf), sessions(spark, sf)))
+
+
+def q_evaluate_batch(spark, sf):
+    from ..ml.score import evaluate_batch
+    return out(evaluate_batch(trained(spark, sf), sessions(spark, sf)))
+
+
+def q_stream_score(spark, sf):
+    import tempfile
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.score_stream import score_stream
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    run = tempfile.mkdtemp(prefix="stream-", dir=base) if base.startswith("/") else f"{base}/stream"
+    res = score_stream(spark, trained(spark, sf), sf, f"{run}/out", f"{run}/ckpt")
+    return out(res.drop("event_time"))
+
+
+QUERIES.update({name[2:]: fn for name, fn in list(globals().items())
+                if name.startswith("q_") and callable(fn) and name[2:] not in QUERIES})

@@ -484,4 +484,7 @@ ORACLE: dict[str, str] = {
         "round(floor(coalesce(injury_risk_score, 0.0) * 100 * 10.0 + 0.5) / 10.0, 6) AS injury_risk_score_pct, "
         + ", ".join(f"round(floor(coalesce({c}, 0.0) * 100.0 + 0.5) / 100.0, 6) AS {c}" for c in
                     ["heart_rate_bpm", "step_frequency_hz", "stride_length_m", "signal_energy"]) + " FROM sessions",
+    "smote_balance":
+        "WITH sz AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY 1) "
+        "SELECT CAST(label AS BIGINT) AS label, max(n_c) OVER () AS n, max(n_c) OVER () - n_c AS synthetic FROM sz",
 }

@@ -27,9 +27,16 @@ def _null_when(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
 
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session view over ``events`` (23 columns); see README, "sessions view"."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return sessions_from_events(read_table(spark, sf_dir, "events", EVENT_COLUMNS))
+
+
+def sessions_from_events(e: DataFrame, keep_event_time: bool = False) -> DataFrame:
+    """The session projection of an events DataFrame (batch or streaming)."""
     eid, v, uid = F.col("event_id"), nan_to_null(F.col("value")), F.col("user_id")
     gone = eid % 50 == 0                       # every sensor missing: these rows are sparse
 
@@ -76,6 +83,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         event.alias("event_type"),
         motion.alias("motion_class"),
         _null_when(eid % 29 == 0, text).alias("recommendation_entrainement"),
+        *([F.col("ts").cast("timestamp").alias("event_time")] if keep_event_time else []),
     )
 
 
