@@ -88,7 +88,7 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
         maps = draw(grid, draws, seed)
         if balance:
             est = BalancedClassifier(est, balance if k >= 1 else "duplicate", id_col, int(k), seed)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold",
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
                             parallelism=parallelism, seed=seed)
         try:
             best = cv.fit(train_f).bestModel
@@ -102,7 +102,10 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
                      float(m["recall"]), float(m["f1"])))
     comparison = spark.createDataFrame(rows, "model string, key string, ord long, accuracy double, "
                                              "precision double, recall double, f1 double")
-    best_key = sorted(rows, key=lambda r: (-r[6], r[2]))[0][1]
+    ok = [r for r in rows if fitted[r[1]] is not None]
+    if not ok:
+        raise RuntimeError("every model family failed to fit")
+    best_key = sorted(ok, key=lambda r: (-r[6], r[2]))[0][1]
     full = PipelineModel(stages=list(feat_model.stages) + [fitted[best_key]])
     lookup = labels.build_lookup(d, spec.label_column, spec.text_column, ("session_id",) if "session_id" in
                                  d.columns else (id_col,))

@@ -29,8 +29,8 @@ def top3_wide(df: DataFrame, scores: str, labels: Sequence[str] | None = None, k
     for r in range(k):
         item = F.get(top, r)
         idx = item.getField("i")
-        cols[f"top{r + 1}_label"] = (F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1) if labels
-                                     else idx.cast("string"))
+        name = (F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1) if labels else idx.cast("string"))
+        cols[f"top{r + 1}_label"] = F.when(idx.isNotNull(), name)
         cols[f"top{r + 1}_proba"] = F.bround(item.getField("p"), decimals)
     return df.withColumns(cols)
 
