@@ -394,7 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ------------------------------------------------------------------------------------- machine learning
 # Registered ML runs use a reduced search (3 folds, 3 draws, a tenth of the trees) so the whole catalogue runs in
 # minutes on one machine; the library defaults are the reference's (5 folds, 10 draws, full tree counts).
-REGISTERED_SEARCH = {"models": ("logreg", "forest"), "folds": 3, "draws": 3, "tree_scale": 0.1, "balance": "smote"}
+REGISTERED_SEARCH = {"models": ("logreg", "forest"), "folds": 3, "draws": 3, "tree_scale": 0.1, "balance": None}
 _BUNDLES: dict = {}
 
 
