@@ -391,6 +391,84 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+
+# ----------------------------------------------------------------------------------------- injury module
+def injury_labelled(spark, sf):
+    from ..spec import INJURY_LABEL_PARTS
+    return labels.composite_label(labelled_sessions(spark, sf).drop("target_label"), INJURY_LABEL_PARTS)
+
+
+def q_injury_label(spark, sf):
+    return out(injury_labelled(spark, sf).select("session_id", "target_label"))
+
+
+def q_injury_lookup(spark, sf):
+    return out(labels.build_lookup(injury_labelled(spark, sf)).withColumnRenamed(
+        "recommendation_entrainement", "recommendation_blessure"))
+
+
+def q_injury_history(spark, sf):
+    from ..spec import INJURY_PREVIEW_CHARS
+    lab = labelled_sessions(spark, sf).withColumn("risk_pct", F.floor(F.col("injury_risk_score") * 1000 + 0.5) / 10)
+    cols = {"event_type": "event", "risk_level": "risk", "hr_zone": "hr_zone", "risk_pct": "injury_risk_pct"}
+    return out(insights.prediction_history(lab, cols, "recommendation_entrainement", INJURY_PREVIEW_CHARS))
+
+
+def q_confusion_wide(spark, sf):
+    from ..spec import RISK_LEVELS
+    return out(metrics.confusion_wide(_rule_scored(spark, sf), list(RISK_LEVELS)))
+
+
+def q_drop_missing_target(spark, sf):
+    s = sessions(spark, sf)
+    return out(clean.drop_missing_target(s, "recommendation_entrainement").select("session_id", "athlete_id"))
+
+
+def _scratch(spark, name):
+    import tempfile
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if base.startswith("file:"):
+        base = base[5:]
+    if base.startswith("/"):
+        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    import uuid
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_roundtrip(spark, sf):
+    """IO4 + IO1: write the session table as CSV, scan it back with an explicit schema, NaN → NULL."""
+    from ..sources.files import read_sessions_csv, write_table
+    s = sessions(spark, sf)
+    path = _scratch(spark, "sessions-csv")
+    write_table(s, path, "csv")
+    back = read_sessions_csv(spark, path)
+    return out(back.select("session_id", "athlete_id", "timestamp", "heart_rate_bpm", "signal_energy",
+                           "risk_level", "recommendation_entrainement"))
+
+
+def q_importance_scan(spark, sf):
+    """IO6 + IO3: write a feature-weight table as CSV, scan it back, drop NULL rows, keep the 14 largest."""
+    from ..sources.files import read_importance, write_table
+    t = feature_spread(spark, sf).select(F.col("feature").alias("Feature"), F.col("weight").alias("Importance"))
+    t = t.unionByName(spark.createDataFrame([("missing_weight", None)], "Feature string, Importance double"))
+    path = _scratch(spark, "importance-csv")
+    write_table(t, path, "csv")
+    return out(read_importance(spark, path))
+
+
+def q_metric_correlation(spark, sf):
+    """AD2: Pearson correlation of every pair of profile metrics, one aggregate pass."""
+    from ..spec import TRAINING_PROFILE_KEYS
+    s = sessions(spark, sf)
+    keys = list(TRAINING_PROFILE_KEYS)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1:]]
+    one = s.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    long = one.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
+    return out(long.select(F.split("pair", r"\|").getItem(0).alias("metric_a"),
+                           F.split("pair", r"\|").getItem(1).alias("metric_b"), "corr"))
+
+
 # ------------------------------------------------------------------------------------- machine learning
 # Registered ML runs use a reduced search (3 folds, 3 draws, a tenth of the trees) so the whole catalogue runs in
 # minutes on one machine; the library defaults are the reference's (5 folds, 10 draws, full tree counts).

@@ -487,4 +487,35 @@ ORACLE: dict[str, str] = {
     "smote_balance":
         "WITH sz AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY 1) "
         "SELECT CAST(label AS BIGINT) AS label, max(n_c) OVER () AS n, max(n_c) OVER () - n_c AS synthetic FROM sz",
+    "injury_label":
+        _w(SESSIONS, LABELLED) + "SELECT session_id, risk_level || '__' || hr_zone || '__' || event_type AS target_label "
+        "FROM labelled2",
+    "injury_lookup":
+        _w(SESSIONS, LABELLED, "il AS (SELECT *, risk_level || '__' || hr_zone || '__' || event_type AS lab FROM labelled2)")
+        + "SELECT lab AS target_label, arg_min(recommendation_entrainement, CASE WHEN recommendation_entrainement "
+          "IS NOT NULL THEN session_id END) AS recommendation_blessure FROM il GROUP BY lab",
+    "injury_history":
+        _w(SESSIONS, LABELLED) + "SELECT athlete_id, session_id, CAST(row_number() OVER (PARTITION BY athlete_id "
+        "ORDER BY \"timestamp\" ASC NULLS LAST, session_id ASC NULLS LAST) AS BIGINT) AS seq, event_type AS event, "
+        "risk_level AS risk, hr_zone, round(floor(injury_risk_score * 1000 + 0.5) / 10, 6) AS injury_risk_pct, "
+        "substring(coalesce(recommendation_entrainement, ''), 1, 90) || '…' AS recommendation FROM labelled2",
+    "confusion_wide":
+        _w(SESSIONS, LABELLED, RULE) + "SELECT actual, "
+        + ", ".join(f"CAST(sum(CASE WHEN predicted = '{v}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{v}\""
+                    for v in ["Faible", "Modéré", "Élevé", "Critique"]) + " FROM rule GROUP BY actual",
+    "drop_missing_target":
+        _w(SESSIONS) + "SELECT session_id, athlete_id FROM sessions WHERE recommendation_entrainement IS NOT NULL",
+    "csv_roundtrip":
+        _w(SESSIONS) + "SELECT session_id, athlete_id, \"timestamp\", round(heart_rate_bpm, 6) AS heart_rate_bpm, "
+        "round(signal_energy, 6) AS signal_energy, risk_level, recommendation_entrainement FROM sessions",
+    "importance_scan":
+        _w(SESSIONS, _feature_spread()) + "SELECT feature AS \"Feature\", round(weight, 6) AS \"Score\" FROM fs "
+        "WHERE weight IS NOT NULL ORDER BY weight DESC, feature LIMIT 14",
+    "metric_correlation":
+        _w(SESSIONS) + " UNION ALL ".join(
+            f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(corr({a}, {b}), 6) AS corr FROM sessions"
+            for i, a in enumerate(["heart_rate_bpm", "performance_score", "step_frequency_hz", "stride_length_m",
+                                   "signal_energy", "acceleration_mps2"])
+            for b in ["heart_rate_bpm", "performance_score", "step_frequency_hz", "stride_length_m",
+                      "signal_energy", "acceleration_mps2"][i + 1:]),
 }
