@@ -524,5 +524,11 @@ def q_stream_score(spark, sf):
     return out(res.drop("event_time"))
 
 
+
+def q_performance_regression(spark, sf):
+    from ..ml.regress import performance_regression
+    return out(performance_regression(sessions(spark, sf))[1])
+
+
 QUERIES.update({name[2:]: fn for name, fn in list(globals().items())
                 if name.startswith("q_") and callable(fn) and name[2:] not in QUERIES})

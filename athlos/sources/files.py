@@ -50,3 +50,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def scored_output_path(input_path: str, suffix: str = "_predictions", fmt: str = "parquet") -> str:
+    """IO7: default output name = input stem + suffix, next to the input."""
+    base = input_path.rstrip("/")
+    stem, dot, ext = base.rpartition(".")
+    stem = stem if dot and "/" not in ext else base
+    return f"{stem}{suffix}.{fmt}"
+
+
+def export_history(history: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """IO8: write the history projection (7 columns for the training module, 6 for the injury one) as CSV."""
+    cols = columns or [c for c in history.columns if c not in ("athlete_id", "session_id")]
+    write_table(history.select(*cols), path, "csv")

@@ -88,3 +88,21 @@ def test_history_seq_matches_plain_window(spark):
     a = {(r.athlete_id, r.session_id): r.seq for r in labels.history_seq(s).collect()}
     b = {(r.athlete_id, r.session_id): r.seq for r in labels.history_seq(s, bucket_chars=None).collect()}
     assert a == b and len(a) == s.count()
+
+
+def test_output_path_and_history_export(spark, tmp_path):
+    from athlos.operators import insights
+    from athlos.sources.files import export_history, scored_output_path
+    assert scored_output_path("/d/new_athletes.csv") == "/d/new_athletes_predictions.parquet"
+    df = spark.createDataFrame([("A1", 2, "2024-01-02 10:00:00", "sprint", "Faible", "Zone_Basse", "Bonne", 50.0, "x | y"),
+                                ("A1", 1, "2024-01-01 10:00:00", "sprint", "Faible", "Zone_Basse", "Bonne", 60.0, None)],
+                               "athlete_id string, session_id long, timestamp string, event_type string, "
+                               "risk_level string, hr_zone string, performance_level string, "
+                               "performance_score double, recommendation_entrainement string")
+    cols = {"event_type": "event", "risk_level": "risk", "hr_zone": "hr_zone", "performance_level": "perf_level",
+            "performance_score": "performance_score"}
+    h = insights.prediction_history(df, cols, "recommendation_entrainement")
+    assert {r.session_id: r.seq for r in h.collect()} == {1: 1, 2: 2}
+    export_history(h, str(tmp_path / "hist"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "hist"))
+    assert back.columns == ["seq", "event", "risk", "hr_zone", "perf_level", "performance_score", "recommendation"]
