@@ -47,14 +47,17 @@ def ordinal_encode(df: DataFrame, maps: Mapping[str, Sequence[str]], default: in
                    only_if_absent: bool = False) -> DataFrame:
     """FE9/FE10: ``<col>_encoded`` = position in the ordered values; unmapped → ``default`` (NULL if None).
 
-    ``only_if_absent`` keeps an existing code column (scoring path, FE10).
+    Without a default the code is a double (NULL for unmapped text), as a mapped column with missing values is a
+    float column in the reference; with a default it is an int. ``only_if_absent`` keeps an existing code column
+    (scoring path, FE10).
     """
     cols = {}
     for c, values in maps.items():
         target = f"{c}_encoded"
         if c not in df.columns or (only_if_absent and target in df.columns):
             continue
-        cols[target] = ordinal_code(F.col(c), values, default)
+        code = ordinal_code(F.col(c), values, default)
+        cols[target] = code.cast("double") if default is None else code
     return df.withColumns(cols)
 
 

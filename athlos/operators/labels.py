@@ -132,11 +132,11 @@ def known_or_first(df: DataFrame, labels: Sequence[str], label: str = "true_labe
 
 
 def history_seq(df: DataFrame, partition: str = "athlete_id", order: Sequence[str] = ("timestamp", "session_id"),
-                out: str = "seq", bucket_chars: int | None = 10) -> DataFrame:
+                out: str = "seq", bucket_chars: int | None = 13) -> DataFrame:
     """WS4: 1-based sequence of a session within its athlete, by time text then session id (NULL time last).
 
-    One athlete may own a large share of all sessions, so the rank is computed per (athlete, day) bucket plus
-    an offset (``exact_row_number``); the day is the first ``bucket_chars`` characters of the time text, which
+    One athlete may own a large share of all sessions, so the rank is computed per (athlete, hour) bucket plus
+    an offset (``exact_row_number``); the hour is the first ``bucket_chars`` characters of the time text, which
     is monotone in the text order. ``bucket_chars=None`` uses the plain window.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]

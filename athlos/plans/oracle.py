@@ -125,7 +125,7 @@ ORD = {
 
 def _ordinal(c: str, default: str = "NULL") -> str:
     whens = " ".join(f"WHEN {c} = '{v}' THEN {i}" for i, v in enumerate(ORD[c]))
-    return f"CAST(CASE {whens} ELSE {default} END AS BIGINT)"
+    return f"CAST(CASE {whens} ELSE {default} END AS {'DOUBLE' if default == 'NULL' else 'BIGINT'})"
 
 
 def _null_count(cols: list[str]) -> str:
@@ -387,7 +387,7 @@ ORACLE: dict[str, str] = {
            "row_number() OVER (ORDER BY rem DESC, target_label) AS pos FROM t4)",
            "q AS (SELECT target_label, CAST(fl + CASE WHEN pos <= extra THEN 1 ELSE 0 END AS BIGINT) AS quota FROM t5)")
         + "SELECT r.session_id, r.target_label, r.rank_in_class, r.rank_in_class <= q.quota AS is_test, "
-          "CASE WHEN r.rank_in_class > q.quota THEN CAST((r.rank_in_class - q.quota - 1) % 5 AS BIGINT) END AS fold "
+          "CAST(CASE WHEN r.rank_in_class > q.quota THEN (r.rank_in_class - q.quota - 1) % 5 ELSE -1 END AS BIGINT) AS fold "
           "FROM r JOIN q ON r.target_label = q.target_label",
     "class_quotas":
         _w(SESSIONS, LABELLED,

@@ -96,3 +96,16 @@ def test_duplicate_balance(spark):
     out = duplicate_balance(df, "label", "id")
     sizes = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
     assert sizes == {"a": 5, "b": 5}
+
+
+def test_boosting_one_vs_rest_on_few_classes(spark):
+    from athlos.ml.train import feature_importance, train_compare
+    from athlos.sources.tables import sessions
+    from athlos.spec import SessionSpec
+    spec = SessionSpec(label_parts=("risk_level",))
+    b = train_compare(sessions(spark, SF), spec, models=("boosting",), draws=1, folds=2, tree_scale=0.01,
+                      balance=None)
+    row = b.comparison.collect()[0]
+    assert row.model == "Gradient Boosting" and row.f1 > 0.5
+    fi = feature_importance(b).collect()
+    assert fi[0].metric == "Importance" and len(fi) == 15
