@@ -39,20 +39,131 @@ def collect_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return row.asDict()
 
 
+# Above this many non-NULL values in a column, exact quantiles switch from Spark's ``percentile`` (whose final
+# merge holds a value→count map of the whole column in one task) to the distributed selection below.
+EXACT_MAP_MAX = 2_000_000
+SELECT_BUCKETS = 4096          # histogram buckets per target and pass
+SELECT_COLLECT_MAX = 20_000    # a band this small is fetched and finished on the driver
+SELECT_MAX_PASSES = 64
+
+
 def quartiles(df: DataFrame, columns: Sequence[str], method: str = "exact",
               probs: Sequence[float] = (0.25, 0.75)) -> dict[str, tuple]:
-    """{column: (q_probs[0], q_probs[1], ...)} from one job."""
+    """{column: (q_probs[0], q_probs[1], ...)}.
+
+    ``exact``: one count job, then either one ``percentile`` job (columns up to ``EXACT_MAP_MAX`` values) or
+    ``exact_select``. ``approx``: one sketch job. ``select``: always the distributed selection.
+    """
+    columns = list(columns)
+    if method == "exact":
+        counts = collect_row(df, {c: F.count(c) for c in columns})
+        if max([counts[c] for c in columns] + [0]) > EXACT_MAP_MAX:
+            return exact_select(df, columns, probs)
+    elif method == "select":
+        return exact_select(df, columns, probs)
     row = collect_row(df, {c: quantile_expr(c, probs, method) for c in columns})
     return {c: tuple(row[c]) if row[c] is not None else tuple(None for _ in probs) for c in columns}
 
 
 def medians(df: DataFrame, columns: Sequence[str], method: str = "exact") -> dict[str, float | None]:
-    if method == "exact":
-        row = collect_row(df, {c: F.median(c) for c in columns})
-        return {c: row[c] for c in columns}
     return {c: q[0] for c, q in quartiles(df, columns, method, (0.5,)).items()}
 
 
+def exact_select(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, tuple]:
+    """Exact quantiles (linear interpolation between order statistics) by distributed selection.
+
+    Each target order statistic keeps a band [lo, hi] of data values known to contain it, and the count of
+    values below the band. One job per pass histograms every active band into ``SELECT_BUCKETS`` equal-width
+    buckets (count, min, max per bucket, partially aggregated). The bucket holding the target rank becomes the
+    new band, with its min and max as bounds. The bucket function is monotone, so every value of an earlier
+    bucket is strictly below the new band and the counts stay exact. A band that has shrunk to one value, or to
+    at most ``SELECT_COLLECT_MAX`` rows, is finished by fetching it. No step holds more than
+    buckets × targets rows, whatever the column size or skew.
+    """
+    columns = list(columns)
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    first = collect_row(base, {f"{c}__{k}": f(F.col(c)) for c in columns
+                               for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
+    # target: (column, rank) → state [lo, hi, below, n_band, value]
+    targets: dict[tuple, list] = {}
+    plan: dict[str, list] = {}
+    for c in columns:
+        n = first[f"{c}__n"]
+        if not n:
+            plan[c] = None
+            continue
+        plan[c] = []
+        for p in probs:
+            h = float(p) * (n - 1)
+            k_lo = int(h // 1)
+            k_hi = min(k_lo + 1, n - 1)
+            plan[c].append((k_lo, k_hi, h - k_lo))
+            for k in (k_lo, k_hi):
+                targets.setdefault((c, k), [first[f"{c}__lo"], first[f"{c}__hi"], 0, n, None])
+    for _ in range(SELECT_MAX_PASSES):
+        active = {t: st for t, st in targets.items()
+                  if st[4] is None and st[0] != st[1] and st[3] > SELECT_COLLECT_MAX}
+        for t, st in targets.items():
+            if st[4] is None and st[0] == st[1]:
+                st[4] = st[0]
+        if not active:
+            break
+        keys = list(active)
+        structs = []
+        for i, (c, _k) in enumerate(keys):
+            lo, hi = active[(c, _k)][0], active[(c, _k)][1]
+            x = F.col(c)
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1))
+            structs.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
+                                  F.struct(F.lit(i).alias("t"), b.cast("long").alias("b"), x.alias("x"))))
+        exploded = base.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
+        hist = (exploded.groupBy(F.col("s.t").alias("t"), F.col("s.b").alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")).collect())
+        by_t: dict[int, list] = {}
+        for r in hist:
+            by_t.setdefault(r["t"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        for i, t in enumerate(keys):
+            st = active[t]
+            below = st[2]
+            for b, n_b, lo_b, hi_b in sorted(by_t.get(i, [])):
+                if t[1] < below + n_b:
+                    st[0], st[1], st[2], st[3] = lo_b, hi_b, below, n_b
+                    break
+                below += n_b
+    # finish: fetch each remaining band (small by construction), one job for all of them
+    rest = {t: st for t, st in targets.items() if st[4] is None}
+    if rest:
+        keys = list(rest)
+        structs = [F.when((F.col(c) >= F.lit(rest[(c, k)][0])) & (F.col(c) <= F.lit(rest[(c, k)][1])),
+                          F.struct(F.lit(i).alias("t"), F.col(c).alias("x")))
+                   for i, (c, k) in enumerate(keys)]
+        vals = (base.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
+                .groupBy(F.col("s.t").alias("t"), F.col("s.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+                .collect())
+        by_t = {}
+        for r in vals:
+            by_t.setdefault(r["t"], []).append((r["x"], r["n"]))
+        for i, t in enumerate(keys):
+            st = rest[t]
+            pos = st[2]
+            for x, n_x in sorted(by_t.get(i, [])):
+                if t[1] < pos + n_x:
+                    st[4] = x
+                    break
+                pos += n_x
+    out = {}
+    for c in columns:
+        if plan[c] is None:
+            out[c] = tuple(None for _ in probs)
+            continue
+        res = []
+        for k_lo, k_hi, frac in plan[c]:
+            v_lo, v_hi = targets[(c, k_lo)][4], targets[(c, k_hi)][4]
+            res.append(v_lo + frac * (v_hi - v_lo) if frac else v_lo)
+        out[c] = tuple(res)
+    return out
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """Most frequent non-NULL value per column; the smallest value wins a tie."""
     row = collect_row(df, {c: F.mode(F.col(c), True) for c in columns})

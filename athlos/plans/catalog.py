@@ -515,11 +515,8 @@ def q_evaluate_batch(spark, sf):
 
 
 def q_stream_score(spark, sf):
-    import tempfile
-    from ..session import ensure_checkpoint_dir
     from ..streaming.score_stream import score_stream
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = tempfile.mkdtemp(prefix="stream-", dir=base) if base.startswith("/") else f"{base}/stream"
+    run = _scratch(spark, "stream")
     res = score_stream(spark, trained(spark, sf), sf, f"{run}/out", f"{run}/ckpt")
     return out(res.drop("event_time"))
 

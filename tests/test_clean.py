@@ -89,3 +89,32 @@ def test_clean_chain_shape(spark):
     # the sensors are z-scores: mean 0 on every non-constant column
     m = c.agg(F.avg("heart_rate_bpm").alias("m")).collect()[0]["m"]
     assert abs(m) < 1e-9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_distributed_selection_equals_numpy(spark, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    vals = np.concatenate([rng.normal(0, 1, 3000), rng.exponential(50, 2000), np.full(1500, 3.25),
+                           np.round(rng.normal(10, 2, 1000), 1)])
+    rng.shuffle(vals)
+    rows = [(i, float(v) if i % 97 else None, float(i % 5)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    monkeypatch.setattr(stats, "SELECT_COLLECT_MAX", 50)
+    monkeypatch.setattr(stats, "SELECT_BUCKETS", 8)
+    got = stats.exact_select(df, ["x", "y"], (0.0, 0.25, 0.5, 0.75, 0.9, 1.0))
+    xs = np.array([r[1] for r in rows if r[1] is not None])
+    ys = np.array([r[2] for r in rows])
+    for p, g in zip((0.0, 0.25, 0.5, 0.75, 0.9, 1.0), got["x"]):
+        assert g == pytest.approx(np.quantile(xs, p), rel=1e-12, abs=1e-12)
+    for p, g in zip((0.0, 0.25, 0.5, 0.75, 0.9, 1.0), got["y"]):
+        assert g == pytest.approx(np.quantile(ys, p), rel=1e-12, abs=1e-12)
+
+
+def test_selection_matches_percentile_on_sessions(spark):
+    from athlos.sources.tables import sessions
+    from athlos.spec import SENSOR_COLUMNS
+    s = sessions(spark, "/root/testdata/sf0.001")
+    a = stats.quartiles(s, SENSOR_COLUMNS, "exact")
+    b = stats.quartiles(s, SENSOR_COLUMNS, "select")
+    for c in SENSOR_COLUMNS:
+        assert a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-12)
