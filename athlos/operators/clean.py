@@ -127,19 +127,25 @@ def zscore(df: DataFrame, columns: Sequence[str] | None = None, ddof: int = 1) -
 
 
 def clean_sessions(df: DataFrame, spec: SessionSpec = SessionSpec(), method: str = "exact",
-                   standardise: bool = True, encode: bool = True, persist: bool = True) -> DataFrame:
+                   standardise: bool = True, encode: bool = True, materialize: str | None = "persist"
+                   ) -> DataFrame:
     """FE23: dedupe → coerce → IQR clip → sparse-row filter + median impute → z-score → encode.
 
     Order matters: quartiles see every deduplicated row, medians the clipped kept rows, mean/std the imputed
-    ones. Three statistics jobs read the deduplicated table, so it is persisted once (MEMORY_AND_DISK; a lost
-    block is recomputed from the scan).
+    ones. Three statistics jobs read the deduplicated table, so it is materialised once:
+    ``"persist"`` (MEMORY_AND_DISK; a lost block is recomputed from the scan), ``"checkpoint"`` (written to the
+    shared ``spark.checkpoint.dir``: survives lost executors and cuts the lineage), or ``None``.
     """
     from .encode import one_hot, ordinal_encode
 
     nums = [c for c in spec.numeric_columns if c in df.columns]
     base = coerce_numeric(dedupe(df), nums)
-    if persist:
+    if materialize == "persist":
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    elif materialize == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
     clipped = iqr_clip(base, nums, method=method)
     kept = median_impute(sparse_row_filter(clipped), nums, method=method)
     out = zscore(kept, nums) if standardise else kept

@@ -118,3 +118,11 @@ def test_selection_matches_percentile_on_sessions(spark):
     b = stats.quartiles(s, SENSOR_COLUMNS, "select")
     for c in SENSOR_COLUMNS:
         assert a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-12)
+
+
+def test_clean_chain_checkpoint_equals_persist(spark):
+    from athlos.sources.tables import sessions
+    s = sessions(spark, "/root/testdata/sf0.001")
+    a = clean.clean_sessions(s, materialize="persist").select("session_id", "heart_rate_bpm").collect()
+    b = clean.clean_sessions(s, materialize="checkpoint").select("session_id", "heart_rate_bpm").collect()
+    assert sorted(a) == sorted(b)
