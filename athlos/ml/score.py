@@ -27,9 +27,12 @@ def _prepare_input(df: DataFrame, bundle: TrainedBundle) -> DataFrame:
     d = df.withColumns({c: F.lit(None).cast("double") for c in missing})
     if spec.time_column and spec.time_column not in d.columns:
         d = d.withColumn(spec.time_column, F.lit(None).cast("string"))
-    d = clean.default_impute(d, {k: v for k, v in INFERENCE_DEFAULTS.items()
-                                 if k in bundle.layout.categorical or k == "event_type" and k in d.columns})
-    return derive(d, spec.time_column)
+    cats = bundle.layout.categorical
+    # present categories: NULL → default; absent ones are added with the default, except the event type,
+    # which ``derive`` recovers from the event flags when the text column is absent
+    fill = {k: v for k, v in INFERENCE_DEFAULTS.items()
+            if k in d.columns or (k in cats and k != "event_type")}
+    return derive(clean.default_impute(d, fill), spec.time_column)
 
 
 def score_batch(bundle: TrainedBundle, df: DataFrame, top3: bool = True,

@@ -109,3 +109,14 @@ def test_boosting_one_vs_rest_on_few_classes(spark):
     assert row.model == "Gradient Boosting" and row.f1 > 0.5
     fi = feature_importance(b).collect()
     assert fi[0].metric == "Importance" and len(fi) == 15
+
+
+def test_flags_only_input_derives_event_type(spark, bundle):
+    from athlos.ml.score import score_one
+    rec = {"athlete_id": "A006", "session_id": 101, "timestamp": "2024-06-01 08:15:00", "heart_rate_bpm": 0.6,
+           "performance_score": 88.5, "injury_risk_score": 0.25, "risk_level": "Modéré", "hr_zone": "Zone_Aerobie",
+           "performance_level": "Excellente", "event_type_high_jump": 0, "event_type_long_jump": 0,
+           "event_type_sprint": 1}
+    out = score_one(bundle, rec, spark)
+    assert out["event_type"] == "sprint" and out["hour"] == 8 and out["dayofweek"] == 5
+    assert out["hr_critical_flag"] == "normal"
