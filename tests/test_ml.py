@@ -120,3 +120,13 @@ def test_flags_only_input_derives_event_type(spark, bundle):
     out = score_one(bundle, rec, spark)
     assert out["event_type"] == "sprint" and out["hour"] == 8 and out["dayofweek"] == 5
     assert out["hr_critical_flag"] == "normal"
+
+
+def test_smote_inside_the_search(spark):
+    from athlos.ml.train import train_compare
+    from athlos.sources.tables import sessions
+    from athlos.spec import SessionSpec
+    spec = SessionSpec(label_parts=("risk_level", "hr_zone"))
+    b = train_compare(sessions(spark, SF), spec, models=("logreg",), draws=2, folds=2, balance="smote")
+    row = b.comparison.collect()[0]
+    assert row.f1 > 0.3 and b.model.stages[-1] is not None
