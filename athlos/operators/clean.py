@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_keep_null, is_numeric_type, null_count
@@ -32,9 +32,16 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns if c in df.columns})
 
 
-def drop_missing_target(df: DataFrame, target: str, name: str = "target_drop") -> DataFrame:
-    """PF3: drop rows whose target is NULL; ``observe`` counts kept rows on the same job as the consumer."""
-    return df.na.drop(subset=[target]).observe(name, F.count(F.lit(1)).alias("kept"))
+def drop_missing_target(df: DataFrame, target: str, observation: Observation | None = None) -> DataFrame:
+    """PF3: drop rows whose target is NULL.
+
+    With an ``Observation``, the rows seen and the rows dropped are counted on the consumer's own job (no second
+    pass); read them with ``observation.get`` after the first action.
+    """
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows"),
+                        F.sum(F.col(target).isNull().cast("long")).alias("dropped"))
+    return df.na.drop(subset=[target])
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR,

@@ -126,3 +126,12 @@ def test_clean_chain_checkpoint_equals_persist(spark):
     a = clean.clean_sessions(s, materialize="persist").select("session_id", "heart_rate_bpm").collect()
     b = clean.clean_sessions(s, materialize="checkpoint").select("session_id", "heart_rate_bpm").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_drop_missing_target_counts_dropped(spark):
+    from pyspark.sql import Observation
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id int, t string")
+    obs = Observation("target")
+    kept = clean.drop_missing_target(df, "t", obs)
+    assert [r.id for r in kept.collect()] == [1]
+    assert obs.get == {"rows": 3, "dropped": 2}
