@@ -81,7 +81,8 @@ def exact_select(df: DataFrame, columns: Sequence[str], probs: Sequence[float])
     buckets × targets rows, whatever the column size or skew.
     """
     columns = list(columns)
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    x = {c: F.col(c).cast("double") for c in columns}
+    base = df.select(*[F.when(~F.isnan(x[c]), x[c]).alias(c) for c in columns])     # NaN counts as missing
     first = collect_row(base, {f"{c}__{k}": f(F.col(c)) for c in columns
                                for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
     # target: (column, rank) → state [lo, hi, below, n_band, value]
