@@ -55,7 +55,7 @@ def quartiles(df: DataFrame, columns: Sequence[str], method: str = "exact",
     ``exact_select``. ``approx``: one sketch job. ``select``: always the distributed selection.
     """
     columns = list(columns)
-    if method == "exact":
+    if method == "exact" and not _surely_small(df):
         counts = collect_row(df, {c: F.count(c) for c in columns})
         if max([counts[c] for c in columns] + [0]) > EXACT_MAP_MAX:
             return exact_select(df, columns, probs)
@@ -65,6 +65,21 @@ def quartiles(df: DataFrame, columns: Sequence[str], method: str = "exact",
     return {c: tuple(row[c]) if row[c] is not None else tuple(None for _ in probs) for c in columns}
 
 
+def _surely_small(df: DataFrame) -> bool:
+    """True when the optimizer's size estimate (no job) is at most ``EXACT_MAP_MAX`` x 8 bytes.
+
+    The estimate comes from the stored (compressed) bytes, and every stored distinct value costs bytes. So a
+    small estimate bounds the value→count map of ``percentile`` for columns read from storage. It is a
+    heuristic for derived columns that multiply distinct values, and it only ever skips the count job on small
+    inputs. Large tables always take the counted path. No estimate (e.g. under Spark Connect) means not small.
+    """
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return False
+    return 0 <= size <= EXACT_MAP_MAX * 8
+
+
 def medians(df: DataFrame, columns: Sequence[str], method: str = "exact") -> dict[str, float | None]:
     return {c: q[0] for c, q in quartiles(df, columns, method, (0.5,)).items()}
 
