@@ -23,6 +23,8 @@ def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Co
     a hash that is also the first order key, or the date of a timestamp that is the first order key).
     """
     part = [F.col(c) for c in partition]
+    # the bucket sizes are a partial aggregate (map-side combined, a tiny shuffle) over a column-pruned scan;
+    # the full rows are shuffled once, for the ranking window
     b = df.withColumn("__bucket", bucket)
     sizes = b.groupBy(*part, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     w_off = (Window.partitionBy(*part).orderBy("__bucket")
@@ -31,6 +33,10 @@ def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Co
     w_in = Window.partitionBy(*part, "__bucket").orderBy(*order)
     ranked = b.withColumn("__rin", F.row_number().over(w_in))
     keys = list(partition) + ["__bucket"]
-    return (ranked.join(offsets, keys, "inner")
+    # a null-safe left join: no inferred not-null filter lands on the ranked branch, so both branches keep the
+    # same plan below the shared exchange (and NULL groups are ranked too)
+    off = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__offset")
+    cond = [ranked[k].eqNullSafe(off[f"__k{i}"]) for i, k in enumerate(keys)]
+    return (ranked.join(off, cond, "left")
             .withColumn(out, (F.col("__offset") + F.col("__rin")).cast("long"))
-            .drop("__bucket", "__offset", "__rin"))
+            .drop("__bucket", "__offset", "__rin", *[f"__k{i}" for i in range(len(keys))]))
