@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import band, composite, round6
+from ..functions.columns import composite, round6
 from ..operators import clean, encode, insights, labels, metrics, split, topk
 from ..sources.tables import doubled_events, read_table, sessions
 from ..spec import (INJURY_ALERT_UPPER, INJURY_PREVIEW_CHARS, ORDINAL_MAPS, SENSOR_COLUMNS,
