@@ -86,7 +86,17 @@ def save_bundle(bundle: TrainedBundle, path: str) -> None:
         f"{path}/meta")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_bundle(spark: SparkSession, path: str) -> TrainedBundle:
+    """IO9 + IO10: load a saved bundle; a missing part is reported by name before anything is read."""
+    missing = [part for part in ("model", "lookup", "comparison", "meta") if not _exists(spark, f"{path}/{part}")]
+    if missing:
+        raise ValueError(f"model bundle at {path} lacks: {', '.join(missing)} (train and save it first)")
     meta = json.loads(spark.read.json(f"{path}/meta").collect()[0]["meta"])
     s = meta["spec"]
     spec = SessionSpec(text_column=s["text_column"], label_parts=tuple(s["label_parts"]),

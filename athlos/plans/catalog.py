@@ -457,6 +457,14 @@ def q_importance_scan(spark, sf):
     return out(read_importance(spark, path))
 
 
+def q_lookup_scan(spark, sf):
+    """IO5 + IO2: write the label → text lookup as CSV, scan it back with its explicit two-column schema."""
+    from ..sources.files import read_lookup, write_table
+    path = _scratch(spark, "lookup-csv")
+    write_table(labels.build_lookup(labelled_sessions(spark, sf)).coalesce(1), path, "csv")
+    return out(read_lookup(spark, path))
+
+
 def q_metric_correlation(spark, sf):
     """AD2: Pearson correlation of every pair of profile metrics, one aggregate pass."""
     from ..spec import TRAINING_PROFILE_KEYS

@@ -130,3 +130,9 @@ def test_smote_inside_the_search(spark):
     b = train_compare(sessions(spark, SF), spec, models=("logreg",), draws=2, folds=2, balance="smote")
     row = b.comparison.collect()[0]
     assert row.f1 > 0.3 and b.model.stages[-1] is not None
+
+
+def test_load_missing_bundle_names_the_parts(spark, tmp_path):
+    from athlos.ml.score import load_bundle
+    with pytest.raises(ValueError, match="lacks: model, lookup, comparison, meta"):
+        load_bundle(spark, str(tmp_path / "nothing"))
