@@ -498,7 +498,7 @@ def q_smote_balance(spark, sf):
     e = read_table(spark, sf, "embeddings")
     d = e.select(F.col("vec_id"), F.col("label").cast("long").alias("label"),
                  array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    b = smote(d, "label", "features", "vec_id", k=5, bucket_length=0.5)
+    b = smote(d, "label", "features", "vec_id", k=5)
     return out(b.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                       F.sum(F.col("is_synthetic").cast("long")).alias("synthetic")))
 

@@ -77,7 +77,7 @@ def test_smote_balances_and_stays_in_class_box(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     d = e.select("vec_id", F.col("label").cast("long").alias("label"),
                  array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    b = smote(d, "label", "features", "vec_id", k=5, bucket_length=0.5).cache()
+    b = smote(d, "label", "features", "vec_id", k=5).cache()
     sizes = {r.label: r.n for r in b.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert len(set(sizes.values())) == 1
     assert b.where("not is_synthetic").count() == d.count()
