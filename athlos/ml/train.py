@@ -100,8 +100,14 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
         fitted[name] = best
         rows.append((MODEL_TITLES[name], name, i, float(m["accuracy"]), float(m["precision"]),
                      float(m["recall"]), float(m["f1"])))
-    comparison = spark.createDataFrame(rows, "model string, key string, ord long, accuracy double, "
-                                             "precision double, recall double, f1 double")
+    # D7: the label is a function of the inputs, so the exact rule is listed for reference (never chosen)
+    rule = labels.composite_label(test, spec.label_parts, "__rule")
+    m = metrics.weighted_prf(rule.select(F.col(spec.label_column).alias("actual"),
+                                         F.col("__rule").alias("predicted"))).collect()[0]
+    rule_row = ("Rule label (reference)", "rule", len(rows), float(m["accuracy"]), float(m["precision"]),
+                float(m["recall"]), float(m["f1"]))
+    comparison = spark.createDataFrame(rows + [rule_row], "model string, key string, ord long, accuracy double, "
+                                                          "precision double, recall double, f1 double")
     ok = [r for r in rows if fitted[r[1]] is not None]
     if not ok:
         raise RuntimeError("every model family failed to fit")

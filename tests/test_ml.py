@@ -16,8 +16,9 @@ def bundle(spark):
 
 
 def test_training_learns_rule_labels(bundle):
-    row = bundle.comparison.collect()[0]
-    assert row.model == "Logistic Regression" and row.f1 > 0.5
+    rows = {r.key: r for r in bundle.comparison.collect()}
+    assert rows["logreg"].model == "Logistic Regression" and rows["logreg"].f1 > 0.5
+    assert rows["rule"].accuracy == 1.0 and bundle.best == "logreg"
     assert bundle.labels == sorted(bundle.labels)
 
 
@@ -105,7 +106,7 @@ def test_boosting_one_vs_rest_on_few_classes(spark):
     spec = SessionSpec(label_parts=("risk_level",))
     b = train_compare(sessions(spark, SF), spec, models=("boosting",), draws=1, folds=2, tree_scale=0.01,
                       balance=None)
-    row = b.comparison.collect()[0]
+    row = [r for r in b.comparison.collect() if r.key == "boosting"][0]
     assert row.model == "Gradient Boosting" and row.f1 > 0.5
     fi = feature_importance(b).collect()
     assert fi[0].metric == "Importance" and len(fi) == 15
@@ -128,7 +129,7 @@ def test_smote_inside_the_search(spark):
     from athlos.spec import SessionSpec
     spec = SessionSpec(label_parts=("risk_level", "hr_zone"))
     b = train_compare(sessions(spark, SF), spec, models=("logreg",), draws=2, folds=2, balance="smote")
-    row = b.comparison.collect()[0]
+    row = [r for r in b.comparison.collect() if r.key == "logreg"][0]
     assert row.f1 > 0.3 and b.model.stages[-1] is not None
 
 
