@@ -46,3 +46,14 @@ def test_family_rules_first_match(spark):
                                "feature string, weight double")
     fam = {r.feature: r.family for r in insights.feature_family(df).collect()}
     assert fam == {"performance_level_Bonne": "performance_level", "injury_risk_score": "injury", "gyro": "other"}
+
+
+def test_gauge_and_indicators(spark):
+    df = spark.createDataFrame([(1, 120.0, 1.7, 2.345, None), (2, -5.0, -0.2, 0.004, 0.615)],
+                               "id int, score double, risk double, hr double, injury_risk_score double")
+    g = insights.gauge_value(insights.gauge_value(df, "score", "g1"), "risk", "g2", unit_scale=True)
+    got = {r.id: (r.g1, r.g2) for r in g.collect()}
+    assert got == {1: (100.0, 100.0), 2: (0.0, 0.0)}
+    ind = insights.indicators(df, ("hr", "injury_risk_score"), percent_key="injury_risk_score")
+    vals = {r.id: (r.hr, r.injury_risk_score_pct) for r in ind.collect()}
+    assert vals[1] == (2.35, 0.0) and vals[2] == (0.0, 61.5)
