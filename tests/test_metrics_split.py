@@ -66,3 +66,11 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id int, label string")
     w = {r.id: r.weight for r in split.class_weights(df, "label").collect()}
     assert w[1] == pytest.approx(4 / (2 * 3)) and w[4] == pytest.approx(4 / 2)
+
+
+def test_exact_row_number_ranks_null_group(spark):
+    from athlos.functions.ranking import exact_row_number
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "a")], "id long, g string")
+    out = exact_row_number(df, ["g"], [F.col("id")], F.lit("x"), "r")
+    got = {r.id: r.r for r in out.collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3}
