@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import SQL as _SQL10
-from .quality_rules import op10_quality_rules
+from . import minhash, quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
-ORACLE = {"op10_quality_rules": _SQL10}
+QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, quality_rules.op10_quality_rules)}
+ORACLE = {"op2_minhash_dedup": minhash.SQL, "op10_quality_rules": quality_rules.SQL}
