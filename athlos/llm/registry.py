@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, quality_rules, wumanber
+from . import bpe, minhash, quality_rules, sharding, wumanber
 
-QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe, wumanber.op7_decontamination,
+QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe, sharding.op6_sharding, wumanber.op7_decontamination,
                                    quality_rules.op10_quality_rules)}
 ORACLE = {"op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op10_quality_rules": quality_rules.SQL}
