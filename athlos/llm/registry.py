@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, minhash, quality_rules, sharding, wumanber
+from . import bpe, chat, classifier, minhash, quality_rules, sharding, wumanber
 
-QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe, sharding.op6_sharding,
+QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe,
+                                   classifier.op5_quality_classifier, sharding.op6_sharding,
                                    wumanber.op7_decontamination, chat.op8_chat_format,
                                    quality_rules.op10_quality_rules)}
 ORACLE = {"op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op8_chat_format": chat.SQL,
