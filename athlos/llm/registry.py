@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, classifier, minhash, quality_rules, sharding, wumanber
+from . import bpe, chat, classifier, minhash, quality_rules, sharding, token_counts, wumanber
 
 QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe,
                                    classifier.op5_quality_classifier, sharding.op6_sharding,
-                                   wumanber.op7_decontamination, chat.op8_chat_format,
+                                   wumanber.op7_decontamination, chat.op8_chat_format, token_counts.op9_token_counts,
                                    quality_rules.op10_quality_rules)}
 ORACLE = {"op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op8_chat_format": chat.SQL,
           "op10_quality_rules": quality_rules.SQL}
