@@ -7,10 +7,12 @@
    ceil(s * n) when the sketch holds the whole set; otherwise ``K / 2``, six standard deviations below the expected
    number), so it is enough to list each sketch under its ``m - t + 1`` rarest values, and very common
    shingles make no long lists. Values held by one class are dropped.
-3. Round one pairs each list member with the list's smallest class only (linear). Pairs pass a size filter and the
-   union-sketch estimate, then exact Jaccard on the full sets confirms them. Round two pairs the members of a list
-   that round one left in different components, under the same tests. A group of near copies is one component after
-   round one, so it never expands into all its pairs. No list is capped.
+3. Round one pairs each list member with the list's hub only (linear): the member most of whose retained values
+   others hold, which among edited copies is the least edited. Pairs pass a size filter and the union-sketch
+   estimate, then exact Jaccard on the full sets confirms them. Round two takes the classes of the lists that round
+   one left in several components and joins them across components by an exact prefix filter on their full sets. A
+   group of near copies is mostly one component after round one, so it does not expand into all its pairs. No list is
+   capped.
 4. Components of the confirmed links by star contraction, carried back over the fingerprints.
 
 Defined cases: null or empty text has an empty set, linked with nothing. A null ``doc_id`` is linked with nothing
@@ -24,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textkit
@@ -100,46 +102,83 @@ def _set_batch(fp, sets):
         names=["fp", "items"])
 
 
+def _rarest(value: str, need: Column, sizes: Column) -> Column:
+    """How many of the shared values (rare first) to list: two sets that share ``need`` of ``sizes`` values share one
+    of their ``sizes - need + 1`` rarest, and values nobody else holds are the rarest of all."""
+    return (sizes - need + 1 - (sizes - F.size(value))).cast("int")
+
+
+def _shared_values(rows: DataFrame, values: str) -> DataFrame:
+    """(fp, shared): the values of each row that another row holds too, rare first, as (df, v)."""
+    each = rows.select("fp", F.explode(values).alias("v"))
+    held = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    return (each.join(held, "v").groupBy("fp")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared")))    # at most one set or sketch
+
+
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(v, fp, cid, n): each class under its rarest retained values that another class holds too."""
-    values = classes.select("fp", F.explode("sketch").alias("v"))
-    held = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    # values nobody else holds are the rarest; only how many a sketch has of them matters
-    shared = (values.join(held, "v").groupBy("fp")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared")))      # at most K each
+    """(v, fp, cid, hub): each class under its rarest retained values that another class holds too. ``hub`` is the
+    share of its retained values that others hold: highest for the least edited of a group of copies."""
+    need = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(K // 2))
     m = F.size("sketch")
-    t = (F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(K // 2)))
-    take = m - t + 1 - (m - F.size("shared"))
-    return (classes.join(shared, "fp").withColumn("take", take.cast("int")).where("take > 0")
-            .select(F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x"), "fp", "cid", "n")
-            .select("x.v", "fp", "cid", "n"))
+    rows = classes.join(_shared_values(classes, "sketch"), "fp")
+    return (rows.withColumn("take", _rarest("shared", need, m)).where("take > 0")
+            .select(F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x"), "fp", "cid",
+                    (F.size("shared") / m).alias("hub"))
+            .select("x.v", "fp", "cid", "hub"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) class ids of the pairs (fa, fb) whose full sets reach the similarity."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (fa, fb) that pass the size filter and the union-sketch estimate."""
     side = lambda x: classes.select(F.col("fp").alias(f"f{x}"), F.col("cid").alias(f"c{x}"),
                                     F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
-    common_values = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    likely = common.checkpointed(
-        pairs.join(side("a"), "fa").join(side("b"), "fb")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .withColumn("u", union)
-        .where(100 * common_values >= (percent - 30) * F.size("u"))
-        .select("fa", "ca", "na", "fb", "cb", "nb"))
-    need = likely.select(F.col("ca").alias("doc_id")).union(likely.select(F.col("cb").alias("doc_id"))).distinct()
-    # the texts of the classes concerned only; hashing the ids' side keeps texts out of any sort
+    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
+    return (pairs.join(side("b"), "fb").join(side("a"), "fa")
+            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            .withColumn("u", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K))
+            .where(100 * both >= (percent - 30) * F.size("u"))
+            .select("fa", "ca", "na", "fb", "cb", "nb"))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(fp, items) of the documents in ``ids`` (doc_id). Hashing the ids' side keeps texts out of any sort."""
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(need.hint("shuffle_hash"), "doc_id", "left_semi"))
-    sets = common.checkpointed(full_sets(texts, n))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return (likely.join(sets.select(F.col("fp").alias("fb"), F.col("items").alias("ib")), "fb")
+             .join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
+    return full_sets(texts, n)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) class ids of the pairs whose full sets reach the similarity."""
+    both = F.size(F.array_intersect("ia", "ib")).cast("long")
+    return (pairs.join(sets.select(F.col("fp").alias("fb"), F.col("items").alias("ib")), "fb")
             .join(sets.select(F.col("fp").alias("fa"), F.col("items").alias("ia")), "fa")
-            .withColumn("both", both.cast("long"))
-            .where("100 * both >= %d * (na + nb - both)" % percent)
+            .withColumn("both", both).where("100 * both >= %d * (na + nb - both)" % percent)
             .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``rest`` (fp, cid, n, items, component) in different components that can reach the similarity.
+
+    Exact prefix filter on the full sets, rare values first. Where a pair meets first, its overlap is at most the
+    smaller number of held values from there on; values that no other row holds come before all others, so this
+    drops most edited copies without pairing them.
+    """
+    need = F.ceil(F.col("n") * percent / 100)
+    rows = rest.join(_shared_values(rest, "items"), "fp").withColumn("e", F.size("shared").cast("long"))
+    listed = common.checkpointed(
+        rows.withColumn("take", _rarest("shared", need, F.col("n"))).where("take > 0")
+        .select(F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "x"), "fp", "cid", "n", "e", "component")
+        .select("x.v", "fp", "cid", "n", (F.col("e") - F.col("i")).alias("left"), "component"))
+    side = lambda x: listed.select("v", *[F.col(c).alias(f"{k}{x}") for c, k in
+                                          (("fp", "f"), ("cid", "c"), ("n", "n"), ("left", "l"), ("component", "k"))])
+    most = F.least("la", "lb")              # bounds the overlap of a pair that meets here for the first time
+    return (side("a").join(side("b"), "v")
+            .where((F.col("fa") < F.col("fb")) & (F.col("ka") != F.col("kb"))
+                   & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                   & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+            .select("fa", "ca", "na", "fb", "cb", "nb").distinct())
+
+
 def near_duplicates(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = common.checkpointed(sketches(docs, n))
@@ -147,21 +186,21 @@ def near_duplicates(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCEN
     classes = common.checkpointed(linked.groupBy("fp").agg(
         F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     lists = common.checkpointed(_lists(classes, percent))
-    pivot = lists.groupBy("v").agg(F.min(F.struct("cid", "fp")).alias("p"))
-    star = (lists.join(pivot, "v").where("fp != p.fp")
-            .select(F.col("p.fp").alias("fa"), F.col("fp").alias("fb")).distinct())
-    found = common.checkpointed(_confirm(star, classes, docs, n, percent))
+    # round one: every member with its list's hub
+    hubs = lists.groupBy("v").agg(F.max(F.struct("hub", (-F.col("cid")).alias("order"), "fp")).alias("p"))
+    star = (lists.join(hubs, "v").where("fp != p.fp")
+            .select(F.least("fp", "p.fp").alias("fa"), F.greatest("fp", "p.fp").alias("fb")).distinct())
+    likely = common.checkpointed(_likely(star, classes, percent))
+    ids = likely.select(F.col("ca").alias("doc_id")).union(likely.select(F.col("cb").alias("doc_id")))
+    found = common.checkpointed(_verified(likely, common.checkpointed(_sets_of(docs, ids, n)), percent))
     # round two: what a list still holds in different components
     now = lists.join(common.components(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     split = now.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = common.checkpointed(now.join(split.select("v"), "v").select("v", "fp", "n", "component"))
-    x = rest.select("v", F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("component").alias("ka"))
-    y = rest.select("v", F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("component").alias("kb"))
-    pairs = (x.join(y, "v").where((F.col("fa") < F.col("fb")) & (F.col("ka") != F.col("kb"))
-                                  & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-             .select("fa", "fb").distinct())
-    links = found.union(_confirm(pairs, classes, docs, n, percent))
+    mixed = common.checkpointed(now.join(split.select("v"), "v").select("fp", "cid", "component").distinct())
+    sets = common.checkpointed(_sets_of(docs, mixed.select(F.col("cid").alias("doc_id")), n))
+    rest = mixed.join(sets, "fp").withColumn("n", F.size("items").cast("long"))
+    links = found.union(_verified(common.checkpointed(_across(rest, percent)), sets, percent))
     # rows of one doc_id are one document: its classes are linked through it
     same = (linked.select("doc_id", "fp").join(classes.select("fp", "cid"), "fp").where("doc_id != cid")
             .select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
