@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, classifier, minhash, quality_rules, sharding, suffix_dedup, token_counts, wumanber
+from . import bpe, chat, classifier, line_dedup, minhash, quality_rules, sharding, suffix_dedup, token_counts, wumanber
 
-QUERIES = {f.__name__: f for f in (minhash.op2_minhash_dedup, bpe.op3_byte_bpe, suffix_dedup.op4_suffix_dedup,
+QUERIES = {f.__name__: f for f in (line_dedup.op1_line_dedup, minhash.op2_minhash_dedup, bpe.op3_byte_bpe, suffix_dedup.op4_suffix_dedup,
                                    classifier.op5_quality_classifier, sharding.op6_sharding,
                                    wumanber.op7_decontamination, chat.op8_chat_format, token_counts.op9_token_counts,
                                    quality_rules.op10_quality_rules)}
-ORACLE = {"op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op8_chat_format": chat.SQL,
+ORACLE = {"op1_line_dedup": line_dedup.SQL, "op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op8_chat_format": chat.SQL,
           "op10_quality_rules": quality_rules.SQL}
