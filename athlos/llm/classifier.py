@@ -8,7 +8,7 @@ hashes, each reduced to its distinct words and counts on the executors). Scoring
 weights of the two classes into one number per hash bucket, so each task loads one small table and scores whole texts.
 
 Defined cases: null or empty text scores the bias alone; a null ``doc_id`` is not held out and has no label; documents
-labelled more than once train with each label; null labels are ignored; without any label every score is 0.5; an empty
+labelled more than once train with each label (of rows that share a doc_id, the smallest text); null labels are ignored; without any label every score is 0.5; an empty
 table gives an empty result; extra columns are ignored. ``lang``, ``source``, ``doc_id`` and labels are no features.
 """
 
@@ -95,7 +95,7 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(label, words array<binary>, counts array<int>) of the sampled labelled documents outside the held-out fold."""
+    """(doc_id, label, words array<binary>, counts array<int>) of the sampled labelled documents outside the held-out fold."""
     lab = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     lab = lab.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "label"), "doc_id", "label").limit(rows)
@@ -106,12 +106,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
             for i in range(b.num_rows):
                 words, counts = _bag_of(b.column("text").slice(i, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("label").slice(i, 1), pa.array([words], pa.list_(pa.binary())),
-                     pa.array([counts], pa.list_(pa.int32()))], names=["label", "words", "counts"])
+                    [b.column("doc_id").slice(i, 1), b.column("label").slice(i, 1), pa.array([words], pa.list_(pa.binary())),
+                     pa.array([counts], pa.list_(pa.int32()))], names=["doc_id", "label", "words", "counts"])
 
     # the sample is the bounded side; texts are hashed past it, never sorted
-    return (text.join(F.broadcast(lab), "doc_id").select("label", "text")
-            .mapInArrow(run, "label int, words array<binary>, counts array<int>"))
+    return (text.join(F.broadcast(lab), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+            .mapInArrow(run, "doc_id long, label int, words array<binary>, counts array<int>"))
 
 
 def _bag_of(col: pa.Array) -> tuple[list[bytes], list[int]]:
@@ -123,35 +123,49 @@ def _bag_of(col: pa.Array) -> tuple[list[bytes], list[int]]:
     return [], []
 
 
-def fit(rows: list) -> Model:
-    """Stochastic gradient descent on the softmax loss, one document at a time, classes weighted to equal mass."""
-    rows = sorted(([r["label"], list(r["words"]), list(r["counts"])] for r in rows), key=lambda r: (r[1], r[2], r[0]))
-    vocab = sorted({bytes(w) for r in rows for w in r[1]})
-    if not vocab or len({r[0] for r in rows}) < 2:
+def _vocabulary_features(vocab: pa.Array, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` of many words, a slice at a time."""
+    ids, size = [], []
+    for a in range(0, len(vocab), step):
+        f, off = word_features(vocab.slice(a, step).to_pylist())
+        ids.append(f)
+        size.append(np.diff(off))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(size))])
+
+
+def fit(rows: pa.Table) -> Model:
+    """Stochastic gradient descent on the softmax loss, one document at a time, classes weighted to equal mass.
+
+    The sample stays in Arrow and numpy arrays; a document's features are laid out when its turn comes.
+    """
+    label = rows.column("label").to_numpy()
+    if len(np.unique(label)) < 2:
         return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
-    place = {w: i for i, w in enumerate(vocab)}
-    ids, off = word_features(vocab)
+    words = rows.column("words").combine_chunks()
+    counts = rows.column("counts").combine_chunks()
+    edge = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+    coded = words.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    which, count = coded.indices.to_numpy(), counts.flatten().to_numpy().astype(np.float32)
+    if not len(which):
+        return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
+    ids, off = _vocabulary_features(coded.dictionary)
     size = np.diff(off)
-    docs = []
-    for y, words, counts in rows:
-        w = np.array([place[bytes(x)] for x in words], np.int64)
-        c = np.array(counts, np.float32)
-        at = np.repeat(off[w] - np.concatenate([[0], np.cumsum(size[w])[:-1]]), size[w]) + np.arange(size[w].sum())
-        weight = np.repeat(c, size[w])
-        if len(at):
-            feature, inverse = np.unique(ids[at], return_inverse=True)
-            docs.append((y, feature, (np.bincount(inverse, weight) / weight.sum()).astype(np.float32)))
-        else:
-            docs.append((y, np.zeros(0, np.int64), np.zeros(0, np.float32)))
     rng = np.random.default_rng(SEED)
-    vectors = ((rng.random((1 << BUCKETS_LOG2, DIM)) - 0.5) / DIM).astype(np.float32)
+    vectors = (rng.random((1 << BUCKETS_LOG2, DIM), dtype=np.float32) - np.float32(0.5)) / np.float32(DIM)
     soft, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    mass = np.bincount([d[0] for d in docs], minlength=2) / len(docs)
-    steps, done = EPOCHS * len(docs), 0
+    mass = np.bincount(label, minlength=2) / len(label)
+    steps, done = EPOCHS * len(label), 0
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(docs)):
-            y, feature, weight = docs[k]
-            rate = RATE * (1 - done / steps) * 0.5 / mass[y]
+        for k in rng.permutation(len(label)):
+            y, w, c = int(label[k]), which[edge[k]:edge[k + 1]], count[edge[k]:edge[k + 1]]
+            n = size[w]
+            at = np.repeat(off[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            feature, inverse = np.unique(ids[at], return_inverse=True)
+            weight = np.bincount(inverse, np.repeat(c, n), len(feature)).astype(np.float32)
+            weight /= max(weight.sum(), 1)
+            rate = np.float32(RATE * (1 - done / steps) * 0.5 / mass[y])
             done += 1
             x = weight @ vectors[feature]
             z = soft @ x + bias
@@ -160,14 +174,15 @@ def fit(rows: list) -> Model:
             p[y] -= 1
             step = soft.T @ p
             soft -= rate * np.outer(p, x)
-            bias -= rate * 0.1 * p
+            bias -= rate * np.float32(0.1) * p
             # an average spreads one step over the document's features; rescale it to reach them
             vectors[feature] -= (rate * weight * min(len(feature), 200))[:, None] * step
     return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    return fit(sample(docs, labels, label, rows).collect())              # at most ``rows`` word lists
+    found = sample(docs, labels, label, rows).toArrow()                  # at most ``rows`` word lists
+    return fit(found.sort_by([("doc_id", "ascending"), ("label", "ascending")]))       # the same order on every run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
