@@ -1,30 +1,21 @@
-"""Joins against small, data-derived tables (class lists, label lookups) with a checked size bound."""
+"""Joins against small, data-derived tables (class lists, label lookups)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we ever broadcast, in rows. Class and lookup tables hold one row per label (tens in practice).
-BROADCAST_MAX_ROWS = 100_000
 
+def join_on_label(big: DataFrame, small: DataFrame, label: str, how: str = "left") -> DataFrame:
+    """Null-safe join of ``big`` with the columns of ``small`` by ``label``.
 
-def bounded_small_side(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise ``small`` once and say whether it may be broadcast.
-
-    At most ``max_rows + 1`` rows are fetched. If the side is within the bound it comes back as a local,
-    broadcast-hinted relation (its size is now proven); otherwise the original plan is returned for a shuffle
-    join (AQE still handles skew there).
+    A NULL label finds the NULL class. The side to broadcast is left to adaptive execution, which decides by the
+    measured bytes of the aggregated side and splits skewed partitions otherwise.
     """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        spark = small.sparkSession
-        local = spark.createDataFrame(rows, small.schema) if rows else spark.createDataFrame([], small.schema)
-        return F.broadcast(local), True
-    return small, False
+    side = small.withColumnRenamed(label, "__join_label")
+    return big.join(side, big[label].eqNullSafe(side["__join_label"]), how).drop("__join_label")
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    side, _ = bounded_small_side(small, max_rows)
-    return big.join(side, on, how)
+def semi_on_label(big: DataFrame, small: DataFrame, label: str) -> DataFrame:
+    side = small.select(F.col(label).alias("__join_label"))
+    return big.join(side, big[label].eqNullSafe(side["__join_label"]), "left_semi")

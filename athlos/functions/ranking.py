@@ -1,10 +1,10 @@
 """Exact row numbers inside groups that may be huge.
 
-``row_number() over (partition by g order by k)`` sends a whole group to one task, so a group holding a third
-of all rows becomes a third of the job in one task. Here the group is cut into sub-buckets that are **ranges of
-the order key** (``bucket`` must be monotone in the order). Each (group, bucket) is ranked on its own, and the
-sizes of the earlier buckets of the same group are added as an offset. The offset table has one row per
-(group, bucket) and is built from a partial aggregate. The result equals the plain window row number.
+``row_number() over (partition by g order by k)`` sends a whole group to one task. Here the rows are range-partitioned
+on (group, order key) and sorted within partitions: one shuffle of the rows, with partitions of even size whatever the
+group sizes or key values. A row's place in its partition comes from ``monotonically_increasing_id``; a table with one
+row per (partition, group) says where each group begins in each partition and how many of its rows came before.
+The partitioned rows are checkpointed, so both passes see the same partitions even after a lost executor.
 """
 
 from __future__ import annotations
@@ -14,29 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 
-def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Column], bucket: Column,
-                     out: str = "rank") -> DataFrame:
-    """Add ``out`` = 1-based row number of each row within ``partition`` by ``order``.
 
-    ``bucket`` must be non-NULL and non-decreasing along ``order`` within a partition (for example a prefix of
-    a hash that is also the first order key, or the date of a timestamp that is the first order key).
+def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """Add ``out`` = 1-based row number of each row within ``partition`` by ``order`` (NULL groups are ranked too).
+
+    Runs the shuffle when called. ``order`` should end in a unique key, or rows that tie are numbered arbitrarily.
     """
-    part = [F.col(c) for c in partition]
-    # the bucket sizes are a partial aggregate (map-side combined, a tiny shuffle) over a column-pruned scan;
-    # the full rows are shuffled once, for the ranking window
-    b = df.withColumn("__bucket", bucket)
-    sizes = b.groupBy(*part, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    w_off = (Window.partitionBy(*part).orderBy("__bucket")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = sizes.withColumn("__offset", F.sum("__n").over(w_off) - F.col("__n")).drop("__n")
-    w_in = Window.partitionBy(*part, "__bucket").orderBy(*order)
-    ranked = b.withColumn("__rin", F.row_number().over(w_in))
-    keys = list(partition) + ["__bucket"]
-    # a null-safe left join: no inferred not-null filter lands on the ranked branch, so both branches keep the
-    # same plan below the shared exchange (and NULL groups are ranked too)
-    off = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__offset")
-    cond = [ranked[k].eqNullSafe(off[f"__k{i}"]) for i, k in enumerate(keys)]
-    return (ranked.join(off, cond, "left")
-            .withColumn(out, (F.col("__offset") + F.col("__rin")).cast("long"))
-            .drop("__bucket", "__offset", "__rin", *[f"__k{i}" for i in range(len(keys))]))
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [F.col(c).asc_nulls_first() for c in partition]
+    placed = (df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+              .withColumn("__place", F.monotonically_increasing_id()).checkpoint())
+    pid = F.shiftright("__place", 33)
+    runs = placed.groupBy(*partition, pid.alias("__pid")).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*partition).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    side = runs.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(partition)], "__pid", "__first", "__before")
+    cond = pid == F.col("__pid")
+    for i, c in enumerate(partition):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return (placed.join(side, cond).withColumn(out, (F.col("__before") + F.col("__place") - F.col("__first") + 1).cast("long"))
+            .drop("__place", "__pid", "__first", "__before", *[f"__g{i}" for i in range(len(partition))]))

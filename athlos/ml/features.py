@@ -15,8 +15,8 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import stats
-from ..spec import CRITICAL_ZONE, EVENT_TYPES, UNKNOWN_EVENT
+from ..operators import clean, encode, stats
+from ..spec import CRITICAL_ZONE, EVENT_TYPES, UNKNOWN_EVENT, SessionSpec
 
 TIME_FEATURES = ("hour", "dayofweek")
 
@@ -50,12 +50,6 @@ class FeatureLayout:
     def onehot(self, c: str) -> str:
         return f"o__{c}"
 
-    def work_columns(self) -> list[str]:
-        cols = [self.filled(c) for c in self.numeric] + [self.scaled(c) for c in self.numeric]
-        cols += [self.filled(c) for c in self.categorical] + [self.index(c) for c in self.categorical]
-        cols += [self.onehot(c) for c in self.categorical] + ["features"]
-        return cols
-
 
 def derived_columns_sql(columns: Sequence[str], time_column: str | None = "timestamp") -> str:
     """FE11 + FE13 + FE14 as SQL over ``__THIS__``: event type from flags (if no text), hour, weekday, flag."""
@@ -80,6 +74,30 @@ def derive(df: DataFrame, time_column: str | None = "timestamp") -> DataFrame:
     return SQLTransformer(statement=derived_columns_sql(df.columns, time_column)).transform(df)
 
 
+def engineer(df: DataFrame, spec: SessionSpec) -> DataFrame:
+    """MD14, shared by fitting and scoring: time features, event type, critical flag; for a spec with flag features
+    also the flags from the category texts (FE12, where absent), the flag fill (FE5) and the ordinal codes with the
+    default for unknown text (FE10, where absent)."""
+    d = derive(df, spec.time_column)
+    if spec.flag_features:
+        absent = [c for c in spec.flag_features if c not in d.columns]
+        for column in ("event_type", "motion_class"):
+            mine = [c for c in absent if c.startswith(f"{column}_")]
+            if mine and column in d.columns:
+                d = d.withColumns({c: (F.col(column) == c[len(column) + 1:]).cast("int") for c in mine})
+        d = clean.fill_flags(d, list(spec.flag_features))
+        maps = {c: v for c, v in spec.ordinal_maps.items() if f"{c}_encoded" in spec.numeric_features}
+        d = encode.ordinal_default(d, maps)
+    return d
+
+
+def check_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> None:
+    """Training inputs must all be there: a silently dropped feature is another model."""
+    absent = [c for c in (*numeric, *categorical) if c not in df.columns]
+    if absent:
+        raise ValueError(f"training input lacks: {', '.join(absent)}")
+
+
 def fit_feature_stages(train: DataFrame, layout: FeatureLayout, method: str = "exact") -> list:
     """Fit the fill and scale statistics on ``train`` (already derived) and return the unfitted-free stages:
     fill SQL, scale SQL, indexer, one-hot, assembler. Three aggregate jobs in total."""

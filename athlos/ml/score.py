@@ -1,56 +1,80 @@
 """Scoring and evaluation (MD11–MD13) and model persistence (IO9).
 
 Scoring is one lazy plan per batch: derive → fitted feature stages → classifier → decode (literal label array)
-→ label parts → lookup (checked broadcast) → top-3 (array functions). No shuffle except the lookup's, which is
-a broadcast of one row per label.
+→ label parts → lookup join (one row per label) → top-3 (array functions).
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..operators import clean, labels, metrics, topk
-from ..spec import (INFERENCE_DEFAULTS, TRAINING_FALLBACK_PREFIX, TRAINING_PRED_COLUMNS, SessionSpec)
-from .features import FeatureLayout, derive
+from ..sources.files import scored_output_path, write_table
+from ..spec import INFERENCE_DEFAULTS, SessionSpec
+from .features import FeatureLayout, engineer
 from .train import TrainedBundle
 
 
+INPUT = "__input"          # the caller's row, untouched, beside the working columns
+
+
 def _prepare_input(df: DataFrame, bundle: TrainedBundle) -> DataFrame:
-    """MD14 (score side): absent columns → NULL/defaults, category defaults, derived columns."""
+    """MD14 (score side): absent numeric columns → NULL (filled with the fit's statistics), category defaults,
+    derived columns. The caller's columns travel in one struct and are not changed."""
     spec = bundle.spec
-    missing = {c: None for c in bundle.layout.numeric if c not in df.columns and c not in ("hour", "dayofweek")}
-    d = df.withColumns({c: F.lit(None).cast("double") for c in missing})
-    if spec.time_column and spec.time_column not in d.columns:
-        d = d.withColumn(spec.time_column, F.lit(None).cast("string"))
+    d = df.withColumn(INPUT, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     cats = bundle.layout.categorical
     # present categories: NULL → default; absent ones are added with the default, except the event type,
     # which ``derive`` recovers from the event flags when the text column is absent
     fill = {k: v for k, v in INFERENCE_DEFAULTS.items()
             if k in d.columns or (k in cats and k != "event_type")}
-    return derive(clean.default_impute(d, fill), spec.time_column)
+    d = engineer(clean.default_impute(d, fill), spec)
+    missing = [c for c in bundle.layout.numeric if c not in d.columns]
+    return d.withColumns({c: F.lit(None).cast("double") for c in missing})
+
+
+def class_probabilities(scored: DataFrame) -> Column:
+    """Array of class probabilities: the model's own, or the logistic of each one-vs-rest margin, scaled to sum 1."""
+    if "probability" in scored.columns:
+        kind = scored.schema["probability"].dataType
+        return F.col("probability") if isinstance(kind, ArrayType) else vector_to_array("probability")
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(each, lambda p: F.when(total > 0, p / total).otherwise(0.0))
 
 
-def score_batch(bundle: TrainedBundle, df: DataFrame, top3: bool = True,
-                pred_columns=TRAINING_PRED_COLUMNS, fallback_prefix: str = TRAINING_FALLBACK_PREFIX) -> DataFrame:
-    """MD11: the input columns unchanged, then predicted parts, label, recommendation and (optional) top-3."""
-    original = df.columns
-    d = _prepare_input(df, bundle)
-    scored = bundle.model.transform(d)
+def score_batch(bundle: TrainedBundle, df: DataFrame, top3: bool = True) -> DataFrame:
+    """MD11: the input columns unchanged, then predicted parts, label, recommendation and (optional) top-3.
+
+    Part names and the fallback text come from the bundle's spec.
+    """
+    spec, original = bundle.spec, df.columns
+    scored = bundle.model.transform(_prepare_input(df, bundle))
     scored = scored.withColumn("predicted_label", labels.decode_expr(F.col("prediction"), bundle.labels))
-    scored = labels.label_parts(scored, list(pred_columns)[:len(bundle.spec.label_parts)])
-    scored = labels.lookup_join(scored, bundle.lookup, "predicted_label", bundle.spec.label_column,
-                                bundle.spec.text_column, "pred_recommendation", fallback_prefix)
-    extra = list(pred_columns)[:len(bundle.spec.label_parts)] + ["predicted_label", "pred_recommendation"]
-    if top3 and "probability" in scored.columns:
-        scored = topk.top3_wide(scored.withColumn("__p", vector_to_array("probability")), "__p", bundle.labels)
+    scored = labels.label_parts(scored, list(spec.pred_columns))
+    scored = labels.lookup_join(scored, bundle.lookup, "predicted_label", spec.label_column, spec.text_column,
+                                "pred_recommendation", spec.fallback_prefix)
+    extra = [*spec.pred_columns, "predicted_label", "pred_recommendation"]
+    if top3:
+        scored = topk.top3_wide(scored.withColumn("__p", class_probabilities(scored)), "__p", bundle.labels)
         extra += [f"top{r}_{x}" for r in (1, 2, 3) for x in ("label", "proba")]
-    keep_derived = [c for c in ("hour", "dayofweek", "hr_critical_flag", "event_type") if c not in original]
-    return scored.select(*original, *keep_derived, *extra)
+    derived = [c for c in ("hour", "dayofweek", "hr_critical_flag", "event_type") if c not in original]
+    return scored.select(*[F.col(f"{INPUT}.`{c}`").alias(c) for c in original], *derived,
+                         *[c for c in extra if c not in original])
+
+
+def write_scored(bundle: TrainedBundle, df: DataFrame, input_path: str, path: str | None = None) -> str:
+    """IO7: score ``df`` and write it to ``path``, by default next to the input as <stem>_predictions."""
+    path = path or scored_output_path(input_path)
+    write_table(score_batch(bundle, df), path)
+    return path
 
 
 def score_one(bundle: TrainedBundle, record: dict, spark: SparkSession | None = None) -> dict:
@@ -62,14 +86,15 @@ def score_one(bundle: TrainedBundle, record: dict, spark: SparkSession | None =
 
 def evaluate_batch(bundle: TrainedBundle, df: DataFrame) -> DataFrame:
     """MD13: rebuild each row's true label (FE16), replace unseen ones by the first known label (FE17, flagged),
-    and return the class report (AG15) of true vs predicted labels."""
+    and return the class report (AG15) of true vs predicted labels over all known classes (D5)."""
     spec = bundle.spec
-    if not any(c in df.columns for c in spec.label_parts if c not in ("event_type", "hr_critical_flag")):
-        raise ValueError("labelled input needs the label part columns")
+    if spec.text_column not in df.columns:
+        raise ValueError(f"labelled input needs the column {spec.text_column}")
     scored = score_batch(bundle, df, top3=False)
+    known = labels.codes_of(df.sparkSession, bundle.labels)
     t = labels.true_label(scored, list(spec.label_parts), "true_label")
-    t = labels.known_or_first(t, bundle.labels, "true_label", "actual")
-    return metrics.class_report(t.select("actual", F.col("predicted_label").alias("predicted")))
+    t = labels.known_or_first(t, known, "true_label", "actual")
+    return metrics.class_report(t.select("actual", F.col("predicted_label").alias("predicted")), labels=known)
 
 
 def save_bundle(bundle: TrainedBundle, path: str) -> None:
@@ -80,8 +105,7 @@ def save_bundle(bundle: TrainedBundle, path: str) -> None:
     bundle.comparison.write.mode("overwrite").parquet(f"{path}/comparison")
     meta = {"labels": bundle.labels, "numeric": bundle.layout.numeric, "categorical": bundle.layout.categorical,
             "best": bundle.best, "names": bundle.names,
-            "spec": {"text_column": bundle.spec.text_column, "label_parts": list(bundle.spec.label_parts),
-                     "label_column": bundle.spec.label_column, "time_column": bundle.spec.time_column}}
+            "spec": asdict(bundle.spec)}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(
         f"{path}/meta")
 
@@ -98,9 +122,7 @@ def load_bundle(spark: SparkSession, path: str) -> TrainedBundle:
     if missing:
         raise ValueError(f"model bundle at {path} lacks: {', '.join(missing)} (train and save it first)")
     meta = json.loads(spark.read.json(f"{path}/meta").collect()[0]["meta"])
-    s = meta["spec"]
-    spec = SessionSpec(text_column=s["text_column"], label_parts=tuple(s["label_parts"]),
-                       label_column=s["label_column"], time_column=s["time_column"])
+    spec = SessionSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["spec"].items()})
     return TrainedBundle(PipelineModel.load(f"{path}/model"), meta["labels"], spark.read.parquet(f"{path}/lookup"),
                          FeatureLayout(meta["numeric"], meta["categorical"]), spec, meta["best"],
                          spark.read.parquet(f"{path}/comparison"), meta["names"])

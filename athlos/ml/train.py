@@ -6,23 +6,23 @@ training rows folds x draws times, and a written copy both cuts the lineage and
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, labels, metrics, split
 from ..session import ensure_checkpoint_dir
-from ..spec import (CV_FOLDS, IMPORTANCE_TOP_N, SEARCH_DRAWS, SEED, TEST_SHARE, TRAINING_CATEGORICAL_FEATURES,
-                    TRAINING_NUMERIC_FEATURES, SessionSpec)
-from .balance import BalancedClassifier
-from .features import FeatureLayout, derive, feature_names, fit_feature_stages
-from .models import MODEL_ORDER, MODEL_TITLES, candidate, draw
+from ..spec import CV_FOLDS, IMPORTANCE_TOP_N, SEARCH_DRAWS, SEED, TEST_SHARE, SessionSpec
+from .balance import balance_rows
+from .features import FeatureLayout, check_features, engineer, feature_names, fit_feature_stages
+from .models import MODEL_ORDER, MODEL_TITLES, candidate, draw, resolve
 
 
 @dataclass
@@ -37,33 +37,66 @@ class TrainedBundle:
     names: list[str] = field(default_factory=list)
 
 
-def prepare(df: DataFrame, spec: SessionSpec, categorical: Sequence[str]) -> DataFrame:
-    """MD14 (fit side): drop rows without target text, derive time features, mode-impute the label parts,
-    derive event type and critical flag, build the composite label, drop classes of one row."""
+def prepare(df: DataFrame, spec: SessionSpec) -> DataFrame:
+    """MD14 (fit side): drop rows without target text, derive the features, mode-impute the label parts, build the
+    composite label, drop classes of one row."""
     d = df.na.drop(subset=[spec.text_column]) if spec.text_column in df.columns else df
     parts = [c for c in ("risk_level", "hr_zone", "performance_level") if c in d.columns]
     d = clean.mode_impute(d, parts)
-    d = derive(d, spec.time_column)
+    d = engineer(d, spec)
     d = labels.composite_label(d, spec.label_parts, spec.label_column)
     return labels.drop_singletons(d, spec.label_column)
 
 
+def _try_fit(estimator, rows: DataFrame, setting: dict, n_rows: int):
+    """A fitted model, or None: a failed fit scores 0 and the search goes on."""
+    try:
+        return estimator.fit(rows, resolve(estimator, setting, n_rows))
+    except Exception as exc:  # noqa: BLE001
+        logging.getLogger("athlos").warning("a fit failed: %s", str(exc)[:2000])
+        return None
+
+
+def search(estimator, settings: list[dict], train: DataFrame, folds: int, balance, evaluator, parallelism: int = 4):
+    """Best setting by mean fold score, the first of equals: (setting, scores per setting).
+
+    Each fold is balanced once, cached, fitted with every setting (``parallelism`` fits at a time) and released.
+    A fit that fails scores 0 in its fold.
+    """
+    scores = [0.0] * len(settings)
+    for fold in range(folds):
+        rows = balance(train.where(F.col("fold") != fold)).persist()
+        held = train.where(F.col("fold") == fold).persist()
+        try:
+            n = rows.count()
+
+            def score(setting, rows=rows, held=held, n=n):
+                model = _try_fit(estimator, rows, setting, n)
+                return evaluator.evaluate(model.transform(held)) if model is not None else 0.0
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                for i, v in enumerate(pool.map(score, settings)):
+                    scores[i] += v / folds
+        finally:
+            rows.unpersist()
+            held.unpersist()
+    return settings[max(range(len(settings)), key=lambda i: (scores[i], -i))], scores
+
+
 def _test_metrics(pred: DataFrame) -> dict:
     p = pred.select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     return metrics.weighted_prf(p).collect()[0].asDict()
 
 
 def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str = "session_id",
-                  numeric: Sequence[str] = TRAINING_NUMERIC_FEATURES,
-                  categorical: Sequence[str] = TRAINING_CATEGORICAL_FEATURES,
+                  numeric: Sequence[str] | None = None, categorical: Sequence[str] | None = None,
                   models: Sequence[str] = MODEL_ORDER, draws: int = SEARCH_DRAWS, folds: int = CV_FOLDS,
                   test_share: float = TEST_SHARE, seed: int = SEED, balance: str | None = "smote",
                   tree_scale: float = 1.0, parallelism: int = 4) -> TrainedBundle:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    d = prepare(df, spec, categorical)
-    layout = FeatureLayout([c for c in numeric if c in d.columns or c in ("hour", "dayofweek")],
-                           [c for c in categorical if c in d.columns])
+    d = prepare(df, spec)
+    layout = FeatureLayout(list(numeric or spec.numeric_features), list(categorical or spec.categorical_features))
+    check_features(d, layout.numeric, layout.categorical)
     label_model = StringIndexer(inputCol=spec.label_column, outputCol="label",
                                 stringOrderType="alphabetAsc").fit(d)
     d = label_model.transform(d)
@@ -76,30 +109,27 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
     train_f = feat_model.transform(train).select(*keep)
     if balance:
         train_f = train_f.withColumn("weight", F.lit(1.0))
-    train_f = train_f.checkpoint().persist()
+    train_f = train_f.checkpoint()
     test_f = feat_model.transform(test).select(*keep).checkpoint()
-    n_train = train_f.count()
     k = split.neighbour_count(train_f, "label").collect()[0]["k_neighbors"]
 
+    def balanced(rows: DataFrame) -> DataFrame:
+        return balance_rows(rows, balance if not balance or k >= 1 else "duplicate", id_col, int(k), seed)
+
     rows, fitted = [], {}
     evaluator = MulticlassClassificationEvaluator(metricName="f1", labelCol="label", predictionCol="prediction")
+    whole = balanced(train_f).persist()
+    n_whole = whole.count()
     for i, name in enumerate(models):
-        est, grid = candidate(name, n_train, seed, tree_scale)
-        maps = draw(grid, draws, seed)
-        if balance:
-            est = BalancedClassifier(est, balance if k >= 1 else "duplicate", id_col, int(k), seed)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
-                            parallelism=parallelism, seed=seed)
-        try:
-            best = cv.fit(train_f).bestModel
-            m = _test_metrics(best.transform(test_f))
-        except Exception as exc:  # noqa: BLE001 - a failed fit scores 0, as in the reference's search
-            import logging
-            logging.getLogger("athlos").warning("model %s failed: %s", name, str(exc)[:2000])
-            best, m = None, {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+        est, grid = candidate(name, seed, tree_scale)
+        best_setting, _ = search(est, draw(grid, draws, seed), train_f, folds, balanced, evaluator, parallelism)
+        best = _try_fit(est, whole, best_setting, n_whole)
+        m = _test_metrics(best.transform(test_f)) if best is not None else dict.fromkeys(
+            ("accuracy", "precision", "recall", "f1"), 0.0)
         fitted[name] = best
         rows.append((MODEL_TITLES[name], name, i, float(m["accuracy"]), float(m["precision"]),
                      float(m["recall"]), float(m["f1"])))
+    whole.unpersist()
     # D7: the label is a function of the inputs, so the exact rule is listed for reference (never chosen)
     rule = labels.composite_label(test, spec.label_parts, "__rule")
     m = metrics.weighted_prf(rule.select(F.col(spec.label_column).alias("actual"),
@@ -113,8 +143,8 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
         raise RuntimeError("every model family failed to fit")
     best_key = sorted(ok, key=lambda r: (-r[6], r[2]))[0][1]
     full = PipelineModel(stages=list(feat_model.stages) + [fitted[best_key]])
-    lookup = labels.build_lookup(d, spec.label_column, spec.text_column, ("session_id",) if "session_id" in
-                                 d.columns else (id_col,))
+    order = [c for c in spec.order_key if c in d.columns] or [id_col]
+    lookup = labels.build_lookup(d, spec.label_column, spec.text_column, order).checkpoint()     # one row per label
     return TrainedBundle(full, list(label_model.labels), lookup, layout, spec, best_key, comparison,
                          feature_names(feat_model.stages, layout))
 
@@ -125,8 +155,11 @@ def feature_importance(bundle: TrainedBundle, top_n: int = IMPORTANCE_TOP_N) ->
     if hasattr(clf, "featureImportances"):
         weights, title = list(clf.featureImportances.toArray()), "Importance"
     elif hasattr(clf, "coefficientMatrix"):
+        from ..operators.topk import mean_abs
         mat = clf.coefficientMatrix.toArray()
-        weights, title = [float(abs(mat[:, j]).mean()) for j in range(mat.shape[1])], "Abs Coef (avg)"
+        long = bundle.comparison.sparkSession.createDataFrame(
+            [(k, j, float(v)) for k, row in enumerate(mat) for j, v in enumerate(row)], "k long, feature long, coefficient double")
+        weights, title = [r["weight"] for r in mean_abs(long).orderBy("feature").collect()], "Abs Coef (avg)"
     elif hasattr(clf, "models"):
         per = [m.featureImportances.toArray() for m in clf.models]
         weights = [float(sum(p[j] for p in per) / len(per)) for j in range(len(per[0]))]

@@ -94,11 +94,6 @@ def default_impute(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df.na.fill(present).withColumns(absent) if present else df.withColumns(absent)
 
 
-def add_missing_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
-    """PF6: add the absent columns with a constant."""
-    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
-
-
 def fill_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """FE5: 0/1 flag columns: NULL → 0, as int; absent flags are added as 0."""
     return df.withColumns({c: (F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in df.columns else F.lit(0))

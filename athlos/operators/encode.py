@@ -14,16 +14,10 @@ from ..functions.columns import last_set_flag, ordinal_code
 from ..spec import (CRITICAL_ZONE, EVENT_TYPES, INFERENCE_DEFAULTS, MOTION_CLASSES, ORDINAL_DEFAULT_CODE,
                     UNKNOWN_EVENT)
 
-MAX_LEVELS = 10_000   # a data-derived vocabulary larger than this is refused, not truncated
-
 
 def vocabulary(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct non-NULL values of a (low-cardinality) column; one aggregate job."""
-    vals = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-            .limit(MAX_LEVELS + 1).collect()]
-    if len(vals) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; pass a vocabulary")
-    return sorted(vals)
+    """Sorted distinct non-NULL values of a column that becomes one output column per value; one aggregate job."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, vocab: Mapping[str, Sequence[str] | None], drop_source: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, contains_any
@@ -113,21 +113,32 @@ def family_weights(df: DataFrame, weight: str = "weight", feature: str = "featur
             .agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("n_features")))
 
 
+def fixed_point(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` decimals as a fixed-point text shows it: the exact binary value is rounded, ties to even.
+
+    The product with 10^digits is rounded itself, so where it reads as a tie its exact error (from the split
+    halves of ``x``) decides.
+    """
+    s = float(10 ** digits)
+    y = x * s
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * s - y) + (x - high) * s
+    low = F.floor(y)
+    up = (y - low > 0.5) | ((y - low == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
+    return F.when(up, low + 1).otherwise(low) / s
+
+
 def indicators(df: DataFrame, keys: Sequence[str] = TRAINING_INDICATOR_KEYS, percent_key: str | None = None
                ) -> DataFrame:
     """IN10: indicator values to two decimals (missing → 0); ``percent_key`` as a percentage with one.
 
-    Rounding is half-up on the binary value (``floor(x * 10^d + 0.5) / 10^d``), the same in every engine.
+    Exact ties round to even, as in the reference's fixed-point texts.
     """
-    def r(x, d):
-        s = float(10 ** d)
-        return F.floor(x * s + F.lit(0.5)) / s
-
     cols = {}
     for k in keys:
         v = F.coalesce(F.col(k).cast("double"), F.lit(0.0))
         if k == percent_key:
-            cols[f"{k}_pct"] = r(v * 100, 1)
+            cols[f"{k}_pct"] = fixed_point(v * 100, 1)
         else:
-            cols[k] = r(v, 2)
+            cols[k] = fixed_point(v, 2)
     return df.withColumns(cols)

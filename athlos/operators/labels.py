@@ -1,8 +1,8 @@
 """Composite labels, class statistics, the label → text lookup, label codes and decoding.
 
 Class-level work is done on the aggregated class table (one row per label, partial aggregation first, so a
-label holding a third of all rows costs no more than any other). Row-level work joins back against that table
-only after its size is checked, or uses the label list as a literal array.
+label holding a third of all rows costs no more than any other). Row-level work joins back against that table;
+adaptive execution broadcasts it while its bytes are within the limit.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite
-from ..functions.joins import BROADCAST_MAX_ROWS, bounded_small_side
+from ..functions.joins import semi_on_label
 from ..functions.ranking import exact_row_number
 from ..spec import LABEL_SEP, TRAINING_FALLBACK_PREFIX
 from .encode import flags_to_category, hr_critical_flag
@@ -66,9 +66,8 @@ def valid_classes(df: DataFrame, label: str = "target_label", min_size: int = 2)
 
 
 def drop_singletons(df: DataFrame, label: str = "target_label", min_size: int = 2) -> DataFrame:
-    """PF9/JN2: keep rows whose class has at least ``min_size`` rows (semi join on the checked class table)."""
-    side, _ = bounded_small_side(valid_classes(df, label, min_size))
-    return df.join(side, label, "left_semi")
+    """PF9/JN2: keep rows whose class has at least ``min_size`` rows (semi join on the class table)."""
+    return semi_on_label(df, valid_classes(df, label, min_size), label)
 
 
 def build_lookup(df: DataFrame, label: str = "target_label", text: str = "recommendation_entrainement",
@@ -89,59 +88,68 @@ def lookup_join(df: DataFrame, lookup: DataFrame, label: str = "predicted_label"
                 out: str = "pred_recommendation", fallback_prefix: str = TRAINING_FALLBACK_PREFIX) -> DataFrame:
     """JN1: left join the label → text lookup; a label without a row gets ``prefix + label + ')'``."""
     lk = lookup.select(F.col(lookup_label).alias("__lk_label"), F.col(text).alias("__lk_text"))
-    side, _ = bounded_small_side(lk)
-    joined = df.join(side, F.col(label) == F.col("__lk_label"), "left")
+    joined = df.join(lk, F.col(label) == F.col("__lk_label"), "left")
     fallback = F.concat(F.lit(fallback_prefix), F.col(label), F.lit(")"))
     return (joined.withColumn(out, F.when(F.col("__lk_label").isNull(), fallback).otherwise(F.col("__lk_text")))
             .drop("__lk_label", "__lk_text"))
 
 
-def sorted_labels(df: DataFrame, label: str = "target_label", max_labels: int = BROADCAST_MAX_ROWS
-                  ) -> list[str]:
-    """FE22 fit: the distinct labels in code-point order (one aggregate job, size-checked)."""
-    rows = (df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct()
-            .limit(max_labels + 1).collect())
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    return sorted(r[0] for r in rows)
+def label_table(df: DataFrame, label: str = "target_label") -> DataFrame:
+    """FE22 fit: (label, code): the distinct labels in code-point order, numbered from 0. One row per label is
+    sorted, never the rows."""
+    distinct = df.select(F.col(label).cast("string").alias("label")).where(F.col(label).isNotNull()).distinct()
+    return distinct.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("code"))
 
 
-def encode_expr(label: Column, labels: Sequence[str]) -> Column:
-    """FE22 transform: code = position in the sorted label list (0-based), unknown → NULL."""
-    pos = F.array_position(F.array(*[F.lit(x) for x in labels]), label)
-    return F.when(pos > 0, pos - 1)
+def sorted_labels(df: DataFrame, label: str = "target_label") -> list[str]:
+    """The label list of a model (one row per class), in code order."""
+    return [r["label"] for r in label_table(df, label).orderBy("code").collect()]
+
+
+def codes_of(spark, labels: Sequence[str]) -> DataFrame:
+    """(label, code) of a model's label list."""
+    return spark.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, code int")
+
+
+def encode(df: DataFrame, codes: DataFrame, label: str = "target_label", out: str = "label_code") -> DataFrame:
+    """FE22 transform: code of each label, unknown or NULL → NULL, by a join with the code table."""
+    side = codes.select(F.col("label").alias("__known"), F.col("code").alias(out))
+    return df.join(side, F.col(label) == F.col("__known"), "left").drop("__known")
+
+
+def decode(df: DataFrame, codes: DataFrame, code: str = "code", out: str = "decoded") -> DataFrame:
+    """JN3: label of each code by a join with the code table."""
+    side = codes.select(F.col("label").alias(out), F.col("code").alias("__code"))
+    return df.join(side, F.col(code).cast("int") == F.col("__code"), "left").drop("__code")
 
 
 def decode_expr(code: Column, labels: Sequence[str]) -> Column:
-    """JN3: code → label."""
+    """JN3 as a projection, for the label list of a fitted model (as long as its probability vector)."""
     return F.element_at(F.array(*[F.lit(x) for x in labels]), code.cast("int") + 1)
 
 
 def label_codes(df: DataFrame, label: str = "target_label", out: str = "label_code") -> DataFrame:
-    """FE22: add the sorted-order code of each label (a projection once the label list is known)."""
-    labels = sorted_labels(df, label)
-    return df.withColumn(out, encode_expr(F.col(label), labels))
+    """FE22: add the sorted-order code of each label."""
+    return encode(df, label_table(df, label), label, out)
 
 
-def known_or_first(df: DataFrame, labels: Sequence[str], label: str = "true_label",
-                   out: str = "true_label_known") -> DataFrame:
-    """PF10 + FE17: an unseen label is replaced by the first known one; ``is_unseen`` says which rows were."""
-    known = F.array_contains(F.array(*[F.lit(x) for x in labels]), F.col(label))
-    return df.withColumns({"is_unseen": ~F.coalesce(known, F.lit(False)),
-                           out: F.when(known, F.col(label)).otherwise(F.lit(labels[0]))})
+def known_or_first(df: DataFrame, known: DataFrame, label: str = "true_label", out: str = "true_label_known") -> DataFrame:
+    """PF10 + FE17: a label outside ``known`` (label, code) is replaced by its first one; ``is_unseen`` marks it."""
+    first = known.agg(F.min_by("label", "code").alias("__first"))
+    side = known.select(F.col("label").alias("__known"), F.lit(True).alias("__seen"))
+    j = df.join(side, F.col(label) == F.col("__known"), "left").drop("__known")
+    # one row on the right side: a lookup of a constant, not a product of two tables
+    return (j.withColumn("__one", F.lit(1)).join(first.withColumn("__one", F.lit(1)), "__one", "left")
+            .withColumns({"is_unseen": F.col("__seen").isNull(),
+                          out: F.when(F.col("__seen"), F.col(label)).otherwise(F.col("__first"))})
+            .drop("__one", "__seen", "__first"))
 
 
 def history_seq(df: DataFrame, partition: str = "athlete_id", order: Sequence[str] = ("timestamp", "session_id"),
-                out: str = "seq", bucket_chars: int | None = 13) -> DataFrame:
+                out: str = "seq") -> DataFrame:
     """WS4: 1-based sequence of a session within its athlete, by time text then session id (NULL time last).
 
-    One athlete may own a large share of all sessions, so the rank is computed per (athlete, hour) bucket plus
-    an offset (``exact_row_number``); the hour is the first ``bucket_chars`` characters of the time text, which
-    is monotone in the text order. ``bucket_chars=None`` uses the plain window.
+    One athlete may own a large share of all sessions, and many may share one time text: ranks come from range
+    partitions on (athlete, time, session), see ``exact_row_number``.
     """
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    if bucket_chars is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(partition).orderBy(*keys)).cast("long"))
-    first = F.col(order[0]).cast("string")
-    bucket = F.coalesce(F.substring(first, 1, bucket_chars), F.lit("\uffff"))
-    return exact_row_number(df, [partition], keys, bucket, out)
+    return exact_row_number(df, [partition], [F.col(c).asc_nulls_last() for c in order], out)

@@ -12,23 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import nan_to_null
+
 # Relative accuracy of the approximate quantile sketch (Greenwald-Khanna) used with method="approx":
 # error about 1/accuracy of the rank, memory O(accuracy) per column and task, independent of the row count.
 APPROX_ACCURACY = 100_000
 
 
-def quantile_expr(c: str, probs: Sequence[float], method: str = "exact") -> Column:
-    """Quantiles of ``c`` as an array, linear interpolation between ranks (``method='exact'``).
-
-    ``exact`` keeps a value→count map per column (partial aggregation merges maps), fine while the number of
-    distinct values is moderate. ``approx`` keeps a bounded sketch and is the choice for very large tables.
-    """
+def quantile_expr(c: str, probs: Sequence[float], method: str = "approx") -> Column:
+    """Quantiles of ``c`` as an array from a bounded sketch (``method='approx'``)."""
+    if method != "approx":
+        raise ValueError(f"unknown quantile method {method!r}")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "exact":
-        return F.percentile(F.col(c), arr)
-    if method == "approx":
-        return F.percentile_approx(F.col(c), arr, APPROX_ACCURACY).cast("array<double>")
-    raise ValueError(f"unknown quantile method {method!r}")
+    return F.percentile_approx(F.col(c), arr, APPROX_ACCURACY).cast("array<double>")
 
 
 def collect_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
@@ -39,151 +35,120 @@ def collect_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return row.asDict()
 
 
-# Above this many non-NULL values in a column, exact quantiles switch from Spark's ``percentile`` (whose final
-# merge holds a value→count map of the whole column in one task) to the distributed selection below.
-EXACT_MAP_MAX = 2_000_000
-SELECT_BUCKETS = 4096          # histogram buckets per target and pass
-SELECT_COLLECT_MAX = 20_000    # a band this small is fetched and finished on the driver
-SELECT_MAX_PASSES = 64
-
-
 def quartiles(df: DataFrame, columns: Sequence[str], method: str = "exact",
               probs: Sequence[float] = (0.25, 0.75)) -> dict[str, tuple]:
-    """{column: (q_probs[0], q_probs[1], ...)}.
+    """{column: (q_probs[0], q_probs[1], ...)}; NaN counts as missing. Runs its jobs when called.
 
-    ``exact``: one count job, then either one ``percentile`` job (columns up to ``EXACT_MAP_MAX`` values) or
-    ``exact_select``. ``approx``: one sketch job. ``select``: always the distributed selection.
+    ``exact``: ``exact_select`` at every size. ``approx``: one sketch job.
     """
     columns = list(columns)
-    if method == "exact" and not _surely_small(df):
-        counts = collect_row(df, {c: F.count(c) for c in columns})
-        if max([counts[c] for c in columns] + [0]) > EXACT_MAP_MAX:
-            return exact_select(df, columns, probs)
-    elif method == "select":
+    if method == "exact":
         return exact_select(df, columns, probs)
-    row = collect_row(df, {c: quantile_expr(c, probs, method) for c in columns})
+    x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    row = collect_row(x, {c: quantile_expr(c, probs, method) for c in columns})
     return {c: tuple(row[c]) if row[c] is not None else tuple(None for _ in probs) for c in columns}
 
 
-def _surely_small(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate (no job) is at most ``EXACT_MAP_MAX`` x 8 bytes.
-
-    The estimate comes from the stored (compressed) bytes, and every stored distinct value costs bytes. So a
-    small estimate bounds the value→count map of ``percentile`` for columns read from storage. It is a
-    heuristic for derived columns that multiply distinct values, and it only ever skips the count job on small
-    inputs. Large tables always take the counted path. No estimate (e.g. under Spark Connect) means not small.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return False
-    return 0 <= size <= EXACT_MAP_MAX * 8
-
-
 def medians(df: DataFrame, columns: Sequence[str], method: str = "exact") -> dict[str, float | None]:
     return {c: q[0] for c, q in quartiles(df, columns, method, (0.5,)).items()}
 
 
 def exact_select(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, tuple]:
-    """Exact quantiles (linear interpolation between order statistics) by distributed selection.
-
-    Each target order statistic keeps a band [lo, hi] of data values known to contain it, and the count of
-    values below the band. One job per pass histograms every active band into ``SELECT_BUCKETS`` equal-width
-    buckets (count, min, max per bucket, partially aggregated). The bucket holding the target rank becomes the
-    new band, with its min and max as bounds. The bucket function is monotone, so every value of an earlier
-    bucket is strictly below the new band and the counts stay exact. A band that has shrunk to one value, or to
-    at most ``SELECT_COLLECT_MAX`` rows, is finished by fetching it. No step holds more than
-    buckets × targets rows, whatever the column size or skew.
+    """Exact quantiles (linear interpolation between order statistics) by verified selection.
+
+    Each target order statistic keeps an open band (lo, hi) that holds it, with the number of values up to
+    ``lo`` and in the band. One job draws a candidate per target from a bounded sketch of the band; the next
+    counts the values below and up to each candidate. A candidate whose counts enclose the rank is the answer;
+    otherwise it becomes the band's new bound. Candidates are values of the data, so every round shrinks the
+    band, by about the sketch's accuracy (a band of up to ``APPROX_ACCURACY`` values takes one round), also with
+    infinities and extreme values. Only counts and candidates reach the driver.
     """
     columns = list(columns)
-    x = {c: F.col(c).cast("double") for c in columns}
-    base = df.select(*[F.when(~F.isnan(x[c]), x[c]).alias(c) for c in columns])     # NaN counts as missing
-    first = collect_row(base, {f"{c}__{k}": f(F.col(c)) for c in columns
-                               for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
-    # target: (column, rank) → state [lo, hi, below, n_band, value]
-    targets: dict[tuple, list] = {}
-    plan: dict[str, list] = {}
+    base = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    targets: dict[tuple, dict] = {}
+    plan: dict[str, list] = {c: [] for c in columns}
+
+    def rank_share(k: int, n: int) -> float:
+        return min(1.0, (k + 0.5) / n)
+
+    # first round: sizes and a candidate per probability and neighbour rank come from one sketch over all values
+    guess = collect_row(base, {**{f"{c}__n": F.count(F.col(c)) for c in columns},
+                               **{f"{c}__q": F.percentile_approx(F.col(c), F.array(*[F.lit(float(p)) for p in probs]),
+                                                                 APPROX_ACCURACY) for c in columns}})
     for c in columns:
-        n = first[f"{c}__n"]
-        if not n:
-            plan[c] = None
-            continue
-        plan[c] = []
-        for p in probs:
+        n = guess[f"{c}__n"]
+        for i, p in enumerate(probs):
+            if not n:
+                continue
             h = float(p) * (n - 1)
-            k_lo = int(h // 1)
-            k_hi = min(k_lo + 1, n - 1)
-            plan[c].append((k_lo, k_hi, h - k_lo))
-            for k in (k_lo, k_hi):
-                targets.setdefault((c, k), [first[f"{c}__lo"], first[f"{c}__hi"], 0, n, None])
-    for _ in range(SELECT_MAX_PASSES):
-        active = {t: st for t, st in targets.items()
-                  if st[4] is None and st[0] != st[1] and st[3] > SELECT_COLLECT_MAX}
-        for t, st in targets.items():
-            if st[4] is None and st[0] == st[1]:
-                st[4] = st[0]
-        if not active:
+            k = int(h // 1)
+            plan[c].append((k, min(k + 1, n - 1), h - k))
+            for r in plan[c][-1][:2]:
+                targets.setdefault((c, r), {"lo": None, "hi": None, "below": 0, "n": n, "x": guess[f"{c}__q"][i]})
+    open_ = dict(targets)
+    while open_:
+        exprs = {}
+        for i, ((c, _), t) in enumerate(open_.items()):
+            x = F.lit(t["x"]).cast("double")
+            exprs[f"{i}__lt"] = F.count(F.when(F.col(c) < x, 1))
+            exprs[f"{i}__le"] = F.count(F.when(F.col(c) <= x, 1))
+            # the next values on either side: neighbouring ranks are the common case
+            exprs[f"{i}__next"] = F.min(F.when(F.col(c) > x, F.col(c)))
+            exprs[f"{i}__prev"] = F.max(F.when(F.col(c) < x, F.col(c)))
+        row = collect_row(base, exprs)
+        again = {}
+        for i, (key, t) in enumerate(open_.items()):
+            k, lt, le = key[1], row[f"{i}__lt"], row[f"{i}__le"]
+            if lt <= k < le:
+                t["value"] = t["x"]
+            elif k == le:
+                t["value"] = row[f"{i}__next"]
+            elif k == lt - 1:
+                t["value"] = row[f"{i}__prev"]
+            else:
+                end = t["below"] + t["n"]
+                if k < lt:
+                    t["hi"], t["n"] = t["x"], lt - t["below"]
+                else:
+                    t["lo"], t["below"], t["n"] = t["x"], le, end - le
+                again[key] = t
+        open_ = again
+        if not open_:
             break
-        keys = list(active)
-        structs = []
-        for i, (c, _k) in enumerate(keys):
-            lo, hi = active[(c, _k)][0], active[(c, _k)][1]
-            x = F.col(c)
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1))
-            structs.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                                  F.struct(F.lit(i).alias("t"), b.cast("long").alias("b"), x.alias("x"))))
-        exploded = base.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-        hist = (exploded.groupBy(F.col("s.t").alias("t"), F.col("s.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")).collect())
-        by_t: dict[int, list] = {}
-        for r in hist:
-            by_t.setdefault(r["t"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-        for i, t in enumerate(keys):
-            st = active[t]
-            below = st[2]
-            for b, n_b, lo_b, hi_b in sorted(by_t.get(i, [])):
-                if t[1] < below + n_b:
-                    st[0], st[1], st[2], st[3] = lo_b, hi_b, below, n_b
-                    break
-                below += n_b
-    # finish: fetch each remaining band (small by construction), one job for all of them
-    rest = {t: st for t, st in targets.items() if st[4] is None}
-    if rest:
-        keys = list(rest)
-        structs = [F.when((F.col(c) >= F.lit(rest[(c, k)][0])) & (F.col(c) <= F.lit(rest[(c, k)][1])),
-                          F.struct(F.lit(i).alias("t"), F.col(c).alias("x")))
-                   for i, (c, k) in enumerate(keys)]
-        vals = (base.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-                .groupBy(F.col("s.t").alias("t"), F.col("s.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-                .collect())
-        by_t = {}
-        for r in vals:
-            by_t.setdefault(r["t"], []).append((r["x"], r["n"]))
-        for i, t in enumerate(keys):
-            st = rest[t]
-            pos = st[2]
-            for x, n_x in sorted(by_t.get(i, [])):
-                if t[1] < pos + n_x:
-                    st[4] = x
-                    break
-                pos += n_x
+        exprs = {}
+        for i, ((c, k), t) in enumerate(open_.items()):
+            inside = F.lit(True)
+            if t["lo"] is not None:
+                inside &= F.col(c) > F.lit(t["lo"]).cast("double")
+            if t["hi"] is not None:
+                inside &= F.col(c) < F.lit(t["hi"]).cast("double")
+            exprs[str(i)] = F.percentile_approx(F.when(inside, F.col(c)), F.lit(rank_share(k - t["below"], t["n"])),
+                                                APPROX_ACCURACY)
+        row = collect_row(base, exprs)
+        for i, t in enumerate(open_.values()):
+            t["x"] = row[str(i)]
     out = {}
     for c in columns:
-        if plan[c] is None:
-            out[c] = tuple(None for _ in probs)
-            continue
         res = []
         for k_lo, k_hi, frac in plan[c]:
-            v_lo, v_hi = targets[(c, k_lo)][4], targets[(c, k_hi)][4]
-            res.append(v_lo + frac * (v_hi - v_lo) if frac else v_lo)
-        out[c] = tuple(res)
+            a, b = targets[(c, k_lo)]["value"], targets[(c, k_hi)]["value"]
+            res.append(a if a == b or not frac else (1 - frac) * a + frac * b)
+        out[c] = tuple(res) if res else tuple(None for _ in probs)
     return out
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Most frequent non-NULL value per column; the smallest value wins a tie."""
-    row = collect_row(df, {c: F.mode(F.col(c), True) for c in columns})
-    return {c: row[c] for c in columns}
+    """Most frequent non-NULL value per column; the smallest value wins a tie. Grouped counts per value, so no
+    task holds all values of a column; one row per column reaches the driver."""
+    found = None
+    for i, c in enumerate(columns):
+        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v"))
+               .select(F.lit(i).alias("i"), *[(F.col("v") if k == i else F.lit(None).cast(df.schema[d].dataType)).alias(f"v{k}")
+                                              for k, d in enumerate(columns)]))
+        found = top if found is None else found.unionByName(top)
+    rows = {r["i"]: r for r in found.collect()} if found is not None else {}
+    return {c: rows[i][f"v{i}"] if i in rows else None for i, c in enumerate(columns)}
 
 
 def min_max(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:

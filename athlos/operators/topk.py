@@ -43,6 +43,11 @@ def top3_long(df: DataFrame, id_cols: Sequence[str], scores: str, k: int = 3) ->
                     F.col("t.i").cast("long").alias("class_index"), F.col("t.p").alias("score")))
 
 
+def mean_abs(df: DataFrame, feature: str = "feature", coefficient: str = "coefficient", out: str = "weight") -> DataFrame:
+    """AG17: mean absolute coefficient over classes per feature, from (class, feature, coefficient) rows."""
+    return df.groupBy(feature).agg(F.avg(F.abs(F.col(coefficient))).alias(out))
+
+
 def top_n(df: DataFrame, weight: str = "weight", n: int = 15, name: str = "feature") -> DataFrame:
     """WS2: the ``n`` largest weights with a 1-based rank (the limit is the feature: a top-n report)."""
     w = Window.orderBy(F.desc(weight), F.col(name))

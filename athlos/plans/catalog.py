@@ -71,10 +71,9 @@ def q_sparse_row_filter(spark, sf):
 
 
 def q_column_quartiles(spark, sf):
-    s = sessions(spark, sf)
-    one = s.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in SENSOR_COLUMNS])
-    long = one.unpivot([], list(SENSOR_COLUMNS), "column_name", "q")
-    return out(long.select("column_name", F.get("q", 0).alias("q1"), F.get("q", 1).alias("q3")))
+    from ..operators import stats
+    q = stats.quartiles(sessions(spark, sf), SENSOR_COLUMNS)
+    return out(spark.createDataFrame([(c, *q[c]) for c in SENSOR_COLUMNS], "column_name string, q1 double, q3 double"))
 
 
 def q_iqr_clip(spark, sf):
@@ -187,9 +186,9 @@ def q_label_codes(spark, sf):
 
 def q_label_decode(spark, sf):
     lab = labelled_sessions(spark, sf).select("session_id", "target_label")
-    names = labels.sorted_labels(lab)
-    coded = lab.withColumn("code", labels.encode_expr(F.col("target_label"), names))
-    return out(coded.select("session_id", "code", labels.decode_expr(F.col("code"), names).alias("decoded")))
+    codes = labels.label_table(lab)
+    coded = labels.encode(lab, codes, out="code").select("session_id", "code")
+    return out(labels.decode(coded, codes))
 
 
 def q_class_sizes(spark, sf):
@@ -229,7 +228,7 @@ def q_lookup_join(spark, sf):
 
 def q_unseen_label(spark, sf):
     lab = labelled_sessions(spark, sf)
-    known = labels.sorted_labels(lab.where(F.col("hr_critical_flag") == "normal"))
+    known = labels.label_table(lab.where(F.col("hr_critical_flag") == "normal"))
     t = labels.known_or_first(lab.select("session_id", F.col("target_label").alias("true_label")), known)
     return out(t)
 
@@ -425,15 +424,11 @@ def q_drop_missing_target(spark, sf):
 
 
 def _scratch(spark, name):
-    import tempfile
-    from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[5:]
-    if base.startswith("/"):
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """A new path in the shared checkpoint folder."""
     import uuid
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def q_csv_roundtrip(spark, sf):
@@ -486,7 +481,7 @@ _BUNDLES: dict = {}
 
 def trained(spark: SparkSession, sf: str):
     from ..ml.train import train_compare
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _BUNDLES:
         _BUNDLES[key] = train_compare(sessions(spark, sf), **REGISTERED_SEARCH)
     return _BUNDLES[key]

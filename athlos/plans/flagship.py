@@ -18,7 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = clean.median_impute(clean.sparse_row_filter(s), SENSOR_COLUMNS)
     s = clean.mode_impute(s, ["risk_level", "hr_zone"])
     s = labels.composite_label(encode.hr_critical_flag(s), TRAINING_LABEL_PARTS)
-    sizes = s.groupBy("target_label").agg(F.count(F.lit(1)).alias("n"),
-                                          F.avg("heart_rate_bpm").alias("mean_heart_rate"))
-    lookup = labels.build_lookup(s)
-    return out(sizes.join(lookup, "target_label", "inner").orderBy(F.desc("n"), "target_label"))
+    text = F.col("recommendation_entrainement")
+    per_label = s.groupBy("target_label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("heart_rate_bpm").alias("mean_heart_rate"),
+        F.min_by(text, F.when(text.isNotNull(), F.col("session_id"))).alias("recommendation_entrainement"))
+    return out(per_label.orderBy(F.desc("n"), "target_label"))

@@ -481,8 +481,8 @@ ORACLE: dict[str, str] = {
         "FROM labelled2",
     "indicators":
         _w(SESSIONS) + "SELECT session_id, "
-        "round(floor(coalesce(injury_risk_score, 0.0) * 100 * 10.0 + 0.5) / 10.0, 6) AS injury_risk_score_pct, "
-        + ", ".join(f"round(floor(coalesce({c}, 0.0) * 100.0 + 0.5) / 100.0, 6) AS {c}" for c in
+        "CAST(format('{:.1f}', coalesce(injury_risk_score, 0.0) * 100) AS DOUBLE) AS injury_risk_score_pct, "
+        + ", ".join(f"CAST(format('{{:.2f}}', coalesce({c}, 0.0)) AS DOUBLE) AS {c}" for c in
                     ["heart_rate_bpm", "step_frequency_hz", "stride_length_m", "signal_energy"]) + " FROM sessions",
     "smote_balance":
         "WITH sz AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY 1) "

@@ -35,6 +35,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions_from_events(read_table(spark, sf_dir, "events", EVENT_COLUMNS))
 
 
+def injury_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session view with the injury module's text in place of the training text (same clauses, own prefix)."""
+    s = sessions(spark, sf_dir)
+    text = F.regexp_replace("recommendation_entrainement", "^Niveau", "Prévention niveau")
+    return s.withColumn("recommendation_blessure", text).drop("recommendation_entrainement")
+
+
 def sessions_from_events(e: DataFrame, keep_event_time: bool = False) -> DataFrame:
     """The session projection of an events DataFrame (batch or streaming)."""
     eid, v, uid = F.col("event_id"), nan_to_null(F.col("value")), F.col("user_id")

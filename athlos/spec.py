@@ -51,12 +51,12 @@ INJURY_PRED_COLUMNS = ("pred_risk_level", "pred_hr_zone", "pred_event_type")
 
 TRAINING_NUMERIC_FEATURES = SENSOR_COLUMNS + SCORE_COLUMNS + ("hour", "dayofweek")
 TRAINING_CATEGORICAL_FEATURES = ("risk_level", "hr_zone", "performance_level", "event_type")
-INJURY_NUMERIC_FEATURES = SENSOR_COLUMNS + SCORE_COLUMNS + (
-    "risk_level_encoded", "hr_zone_encoded", "performance_level_encoded",
+INJURY_FLAG_FEATURES = (
     "event_type_high_jump", "event_type_long_jump", "event_type_sprint",
     "motion_class_acceleration_phase", "motion_class_flight_phase", "motion_class_landing",
     "motion_class_start_phase",
 )
+INJURY_NUMERIC_FEATURES = SENSOR_COLUMNS + SCORE_COLUMNS + ("risk_level_encoded", "hr_zone_encoded") + INJURY_FLAG_FEATURES
 INJURY_CATEGORICAL_FEATURES = ("risk_level", "hr_zone", "event_type")
 
 # Defaults used when a scoring input lacks a category, and the ordinal default for an unknown text.
@@ -115,6 +115,11 @@ class SessionSpec:
     label_column: str = "target_label"
     order_key: tuple[str, ...] = ("timestamp", "session_id")
     partition_key: str = "athlete_id"
+    pred_columns: tuple[str, ...] = TRAINING_PRED_COLUMNS
+    fallback_prefix: str = TRAINING_FALLBACK_PREFIX
+    numeric_features: tuple[str, ...] = TRAINING_NUMERIC_FEATURES
+    categorical_features: tuple[str, ...] = TRAINING_CATEGORICAL_FEATURES
+    flag_features: tuple[str, ...] = ()
 
     @property
     def numeric_columns(self) -> tuple[str, ...]:
@@ -125,4 +130,7 @@ class SessionSpec:
 
 
 TRAINING_SPEC = SessionSpec()
-INJURY_SPEC = SessionSpec(text_column="recommendation_blessure", label_parts=INJURY_LABEL_PARTS)
+INJURY_SPEC = SessionSpec(
+    text_column="recommendation_blessure", label_parts=INJURY_LABEL_PARTS, pred_columns=INJURY_PRED_COLUMNS,
+    fallback_prefix=INJURY_FALLBACK_PREFIX, numeric_features=INJURY_NUMERIC_FEATURES,
+    categorical_features=INJURY_CATEGORICAL_FEATURES, flag_features=INJURY_FLAG_FEATURES)

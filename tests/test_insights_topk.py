@@ -56,4 +56,12 @@ def test_gauge_and_indicators(spark):
     assert got == {1: (100.0, 100.0), 2: (0.0, 0.0)}
     ind = insights.indicators(df, ("hr", "injury_risk_score"), percent_key="injury_risk_score")
     vals = {r.id: (r.hr, r.injury_risk_score_pct) for r in ind.collect()}
-    assert vals[1] == (2.35, 0.0) and vals[2] == (0.0, 61.5)
+    assert vals[1] == (float(f"{2.345:.2f}"), 0.0) and vals[2] == (0.0, 61.5)
+
+
+def test_indicator_ties_round_as_fixed_point_text(spark):
+    vals = [0.125, 0.375, 2.345, 0.145, 0.155, 0.165, 1.005, 2.675, 0.615, -0.125, 1e15 + 0.5, 0.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, x double")
+    got = {r.id: r.x for r in insights.indicators(df, ("x",)).collect()}
+    for i, v in enumerate(vals):
+        assert got[i] == float(f"{v:.2f}"), v

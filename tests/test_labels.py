@@ -1,5 +1,6 @@
 import itertools
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from athlos.operators import encode, labels
@@ -59,9 +60,9 @@ def test_48_injury_labels_code_point_order(spark):
     assert coded["Critique__Zone_Aerobie__high_jump"] == 0
     assert min(v for k, v in coded.items() if k.startswith("Élevé")) > max(
         v for k, v in coded.items() if k.startswith("Modéré"))
-    decoded = df.select(labels.decode_expr(labels.encode_expr(F.col("target_label"), sorted(all_labels)),
-                                           sorted(all_labels)).alias("d")).collect()
-    assert sorted(r.d for r in decoded) == sorted(all_labels)
+    codes = labels.codes_of(spark, sorted(all_labels))
+    decoded = labels.decode(labels.encode(df, codes, out="code"), codes).collect()
+    assert all(r.decoded == r.target_label for r in decoded) and len(decoded) == 48
 
 
 def test_lookup_first_text_and_fallback(spark):
@@ -77,7 +78,7 @@ def test_lookup_first_text_and_fallback(spark):
 def test_drop_singletons_and_unseen(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, target_label string")
     assert sorted(r.id for r in labels.drop_singletons(df).collect()) == [1, 2]
-    t = labels.known_or_first(df.withColumnRenamed("target_label", "true_label"), ["a"])
+    t = labels.known_or_first(df.withColumnRenamed("target_label", "true_label"), labels.codes_of(spark, ["a"]))
     got = {r.id: (r.true_label_known, r.is_unseen) for r in t.collect()}
     assert got[3] == ("a", True) and got[1] == ("a", False)
 
@@ -86,7 +87,8 @@ def test_history_seq_matches_plain_window(spark):
     from athlos.sources.tables import sessions
     s = sessions(spark, "/root/testdata/sf0.001").select("athlete_id", "session_id", "timestamp")
     a = {(r.athlete_id, r.session_id): r.seq for r in labels.history_seq(s).collect()}
-    b = {(r.athlete_id, r.session_id): r.seq for r in labels.history_seq(s, bucket_chars=None).collect()}
+    w = Window.partitionBy("athlete_id").orderBy(F.col("timestamp").asc_nulls_last(), "session_id")
+    b = {(r.athlete_id, r.session_id): r.seq for r in s.withColumn("seq", F.row_number().over(w)).collect()}
     assert a == b and len(a) == s.count()
 
 

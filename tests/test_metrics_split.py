@@ -56,7 +56,7 @@ def test_exact_row_number_equals_window(spark):
     from athlos.functions.ranking import exact_row_number
     df = spark.range(0, 3000).withColumn("g", (F.col("id") % 3 == 0).cast("int")).withColumn(
         "h", F.md5(F.col("id").cast("string")))
-    a = exact_row_number(df, ["g"], [F.col("h"), F.col("id")], F.substring("h", 1, 2), "r")
+    a = exact_row_number(df, ["g"], [F.col("h"), F.col("id")], "r")
     b = df.withColumn("r2", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
     j = a.join(b.select("id", "r2"), "id")
     assert j.where(F.col("r") != F.col("r2")).count() == 0 and j.count() == 3000
@@ -71,6 +71,34 @@ def test_class_weights(spark):
 def test_exact_row_number_ranks_null_group(spark):
     from athlos.functions.ranking import exact_row_number
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "a")], "id long, g string")
-    out = exact_row_number(df, ["g"], [F.col("id")], F.lit("x"), "r")
+    out = exact_row_number(df, ["g"], [F.col("id")], "r")
     got = {r.id: r.r for r in out.collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3}
+
+
+def test_row_number_with_one_owner_and_one_time(spark):
+    from pyspark.sql import Window
+    from athlos.operators import labels
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("A"), F.col("id") % 70)).otherwise("busy").alias("athlete_id"),
+        F.col("id").alias("session_id"), F.lit("2024-01-01 00:00:00").alias("timestamp")).repartition(9)
+    a = labels.history_seq(df)
+    b = df.withColumn("want", F.row_number().over(Window.partitionBy("athlete_id").orderBy("timestamp", "session_id")))
+    j = a.join(b.select("session_id", "want"), "session_id")
+    assert j.count() == 4000 and j.where("seq != want").count() == 0
+
+
+def test_null_labels_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(90)], "id long, label string")
+    sp = split.stratified_split(df, "label", "id", test_share=0.1)
+    assert sp.count() == 90 and sp.where("is_test").count() == 9
+    w = split.class_weights(df, "label")
+    assert w.count() == 90 and w.where("label IS NULL").first()["weight"] == pytest.approx(90 / (3 * 30))
+
+
+def test_report_lists_known_classes_that_do_not_occur(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "actual string, predicted string")
+    known = spark.createDataFrame([("a",), ("b",), ("z",)], "label string")
+    rep = {r["class"]: r for r in metrics.class_report(df, labels=known).collect()}
+    assert tuple(rep["z"])[1:] == (0.0, 0.0, 0.0, 0)
+    assert rep["macro avg"].recall == pytest.approx((0.5 + 1 + 0) / 3) and rep["accuracy"].f1 == pytest.approx(2 / 3)

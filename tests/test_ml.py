@@ -35,6 +35,7 @@ def test_score_appends_columns_and_save_load_same_rows(spark, bundle):
     s = sessions(spark, SF)
     a = score_batch(bundle, s)
     assert a.columns[:len(s.columns)] == s.columns
+    assert sorted(map(repr, a.select(*s.columns).collect())) == sorted(map(repr, s.collect()))    # values untouched
     assert {"predicted_label", "pred_recommendation", "top1_label", "top3_proba"} <= set(a.columns)
     path = tempfile.mkdtemp(prefix="bundle-", dir=spark.sparkContext.getCheckpointDir().replace("file:", ""))
     save_bundle(bundle, path)
@@ -73,6 +74,100 @@ def test_stream_equals_batch(spark, bundle):
     assert streamed == batch
 
 
+def test_stream_keeps_late_files(spark, bundle, tmp_path):
+    from athlos.sources.tables import read_table
+    from athlos.streaming.score_stream import score_stream
+    e = read_table(spark, SF, "events").orderBy(F.desc("ts")).toPandas()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src = tmp_path / "src"
+    src.mkdir()
+    table = pa.Table.from_pandas(e, preserve_index=False)
+    step = -(-len(e) // 5)
+    for k in range(5):                                             # newest first, with a repeated row per file
+        part = table.slice(k * step, step)
+        pq.write_table(pa.concat_tables([part, part.slice(0, 1)]), src / f"events-{k}.parquet", coerce_timestamps="us")
+        os.utime(src / f"events-{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    for files in (1, None):
+        out = score_stream(spark, bundle, str(src), str(tmp_path / f"out{files}"), str(tmp_path / f"ck{files}"), max_files=files)
+        ids = [r.session_id for r in out.select("session_id").collect()]
+        assert sorted(ids) == sorted(e["event_id"].tolist())
+
+
+def test_one_failing_draw_does_not_sink_its_family(spark):
+    import threading
+    import time
+
+    from athlos.ml.train import search
+    train = spark.createDataFrame([(i, i % 2, float(i % 2)) for i in range(20)], "id long, fold long, label double")
+    running, most, lock = [0], [0], threading.Lock()
+
+    class Model:
+        def __init__(self, good):
+            self.good = good
+
+        def transform(self, d):
+            return self.good
+
+    class Estimator:
+        def fit(self, rows, params):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            time.sleep(0.3)
+            with lock:
+                running[0] -= 1
+            if params["k"] == 0:
+                raise ValueError("no fit")
+            return Model(params["k"])
+
+    class Evaluator:
+        def evaluate(self, predicted):
+            return float(predicted)
+    best, scores = search(Estimator(), [{"k": 0}, {"k": 2}, {"k": 1}], train, 2, lambda r: r, Evaluator())
+    assert best == {"k": 2} and scores == [0.0, 2.0, 1.0] and most[0] > 1
+
+
+def test_smote_evidence(spark):
+    from athlos.ml.balance import smote
+    from pyspark.ml.functions import vector_to_array
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    d = e.select("vec_id", F.col("label").cast("long").alias("label"),
+                 array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    b = smote(d, "label", "features", "vec_id", k=5).where("is_synthetic")
+    x = d.select("vec_id", F.col("label").alias("base_label"), vector_to_array("features").alias("x"))
+    y = d.select(F.col("vec_id").alias("neighbour_id"), F.col("label").alias("near_label"), vector_to_array("features").alias("y"))
+    j = b.withColumn("z", vector_to_array("features")).join(x, "vec_id").join(y, "neighbour_id", "left").collect()
+    assert len(j) == b.count() and len({(r.vec_id, r.slot) for r in j}) == len(j)
+    for r in j:
+        assert r.base_label == r.label and 0 <= r.step < 1
+        if r.neighbour_id is not None:
+            assert r.near_label == r.label
+            assert r.z == pytest.approx([p + r.step * (q - p) for p, q in zip(r.x, r.y)])
+
+
+def test_injury_model(spark):
+    """23 numeric and 3 categorical features, its own names, fallback and top three."""
+    from athlos.ml.score import evaluate_batch, load_bundle, save_bundle, score_batch
+    from athlos.ml.train import train_compare
+    from athlos.sources.tables import injury_sessions
+    from athlos.spec import INJURY_SPEC
+    s = injury_sessions(spark, SF)
+    b = train_compare(s, INJURY_SPEC, models=("logreg",), draws=1, folds=2, balance=None)
+    assert (len(b.layout.numeric), len(b.layout.categorical)) == (23, 3)
+    out = score_batch(b, s)
+    assert {"pred_risk_level", "pred_hr_zone", "pred_event_type", "top3_label"} <= set(out.columns)
+    assert "pred_performance_level" not in out.columns
+    r = out.first()
+    assert r.predicted_label == "__".join([r.pred_risk_level, r.pred_hr_zone, r.pred_event_type])
+    report = {x["class"] for x in evaluate_batch(b, s).collect()}
+    assert set(b.labels) <= report
+    with pytest.raises(ValueError, match="recommendation_blessure"):
+        evaluate_batch(b, s.drop("recommendation_blessure"))
+    with pytest.raises(ValueError, match="lacks: signal_energy"):
+        train_compare(s.drop("signal_energy"), INJURY_SPEC, models=("logreg",), draws=1, folds=2, balance=None)
+
+
 def test_smote_balances_and_stays_in_class_box(spark):
     from athlos.ml.balance import smote
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
