@@ -129,14 +129,14 @@ def zscore(df: DataFrame, columns: Sequence[str] | None = None, ddof: int = 1) -
 
 
 def clean_sessions(df: DataFrame, spec: SessionSpec = SessionSpec(), method: str = "exact",
-                   standardise: bool = True, encode: bool = True, materialize: str | None = "persist"
+                   standardise: bool = True, encode: bool = True, materialize: str | None = "checkpoint"
                    ) -> DataFrame:
     """FE23: dedupe → coerce → IQR clip → sparse-row filter + median impute → z-score → encode.
 
     Order matters: quartiles see every deduplicated row, medians the clipped kept rows, mean/std the imputed
-    ones. Three statistics jobs read the deduplicated table, so it is materialised once:
-    ``"persist"`` (MEMORY_AND_DISK; a lost block is recomputed from the scan), ``"checkpoint"`` (written to the
-    shared ``spark.checkpoint.dir``: survives lost executors and cuts the lineage), or ``None``.
+    ones. The statistics jobs read the deduplicated table several times, so it is materialised once:
+    ``"checkpoint"`` (written to the shared ``spark.checkpoint.dir``: survives lost executors, and Spark's cleaner
+    releases it), ``"persist"`` (MEMORY_AND_DISK; the caller unpersists), or ``None``.
     """
     from .encode import one_hot, ordinal_encode
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def bundle(spark):
     from athlos.ml.train import train_compare
     from athlos.sources.tables import sessions
-    return train_compare(sessions(spark, SF), models=("logreg",), draws=8, folds=2, balance=None)
+    return train_compare(sessions(spark, SF), models=("logreg",), draws=3, folds=2, balance=None)
 
 
 def test_training_learns_rule_labels(bundle):
