@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -33,9 +37,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
+
+    Shuffle files behind earlier checkpoints are no longer needed. Spark deletes them when the driver's collector
+    finds their plans unreachable, which is asked for here, so an iterative operator does not pile them up.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+FILTER_BITS = 22            # 512 KB, whatever the input
+
+
+def bitmap(slots: DataFrame):
+    """Broadcast bitmap of 2^FILTER_BITS bits from the one column of ``slots`` (longs below 2^FILTER_BITS)."""
+    s = slots.columns[0]
+    words = (slots.groupBy(F.expr(f"{s} div 32").alias("word"))
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({s} % 32 AS INT))")).alias("bits")).collect())
+    out = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return slots.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words[at >> 5] >> (at & 31)) & 1 == 1
+
+
+def may_hold(ids: DataFrame) -> Callable[[Column], Column]:
+    """A filter that is true for every value of the one long column of ``ids``, and false for most others while it
+    holds up to about a million. It only thins out rows before the exact join; its size is fixed."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    shared = bitmap(ids.select(slot(F.col(ids.columns[0])).alias("s")))
+    udf = F.arrow_udf(lambda s: pa.array(in_bitmap(shared.value, s.to_numpy())), "boolean")
+    return lambda c: udf(slot(c))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -32,8 +32,7 @@ from . import common, textkit
 
 EDITS = 2
 MIN_BYTES = 32
-PARITIES = 40               # low bits of a line id
-FILTER_BITS = 22            # size of the bitmap that thins out lines whose text is fetched (512 KB, whatever the input)
+PARITIES = 40               # low bits of a line id: parities of byte pairs; then 8 bits of length, 16 of a hash
 _ODD = 0xD6E8FEB86659FD93
 _POWER: dict[str, np.ndarray] = {}
 
@@ -64,6 +63,9 @@ def split_lines(data: np.ndarray, off: np.ndarray, least: int = 0):
     return start[keep], bound[keep], row[keep], number[keep]
 
 
+_PAIR_BIT = np.uint64(1) << (textkit.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(7)) % np.uint64(PARITIES))
+
+
 class Lines:
     """Hashes of the eligible lines of a chunk."""
 
@@ -79,14 +81,14 @@ class Lines:
         return textkit.mix((self.total[start + size] - self.total[start]) * self.back[start] + size.astype(np.uint64))
 
     def ids(self) -> np.ndarray:
-        """Hash in the high bits, parities of the hashed byte pairs in the low ``PARITIES`` bits."""
+        """16 bits of a hash, 8 of the length, and the parities of the hashed byte pairs."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        pair = self.data[:-1].astype(np.uint64) * np.uint64(256) + self.data[1:]
-        bit = textkit.mix(pair + np.uint64(7)) % np.uint64(PARITIES)
-        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << bit)])
-        parity = run[self.end - 1] ^ run[self.start]
-        return (self.hash(self.start, self.end - self.start) >> np.uint64(PARITIES) << np.uint64(PARITIES)) | parity
+        pair = self.data[:-1].astype(np.uint16) << np.uint16(8) | self.data[1:]
+        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_PAIR_BIT[pair])])
+        size = self.end - self.start
+        return (self.hash(self.start, size) >> np.uint64(48) << np.uint64(48) | (size & 255).astype(np.uint64) << np.uint64(PARITIES)
+                | run[self.end - 1] ^ run[self.start])
 
     def index_keys(self):
         """(line, key) of the segments."""
@@ -210,35 +212,37 @@ def _keys(rows: DataFrame, probe: bool) -> DataFrame:
 
 
 def _can_match(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND((1 << PARITIES) - 1)) <= 4 * EDITS
+    """Parities allow the pair; lines of one length meet from both sides, so one of the two meetings counts."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return ((F.bit_count(x.bitwiseAND((1 << PARITIES) - 1)) <= 4 * EDITS)
+            & ((F.shiftright(x, PARITIES).bitwiseAND(255) != 0) | (F.col(a) < F.col(b))))
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    """Bitmap slot of an id: its hash bits and its lowest parities."""
+    return ((ids >> np.uint64(48) << np.uint64(6)) | ids & np.uint64(63)).astype(np.int64)
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(ida, checka, idb, checkb) of the id pairs (ida, idb) whose lines are within ``EDITS`` edits."""
     need = common.checkpointed(pairs.select(F.col("ida").alias("id")).union(pairs.select("idb")).distinct())
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    bits = (need.select(slot.alias("s")).groupBy(F.expr("s div 32").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 32 AS INT))")).alias("bits")).collect())   # fixed bound
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    for r in bits:
-        bitmap[r["word"]] = r["bits"]
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    probe = F.arrow_udf(lambda s: pa.array((shared.value[s.to_numpy() >> 5] >> (s.to_numpy() & 31)) & 1 == 1), "boolean")
+    slots = common.bitmap(need.select(F.expr("shiftleft(shiftrightunsigned(id, 48), 6) | (id & 63)").alias("s")))
 
     def run(batches):
         for b in batches:
             for _, data, off in textkit.chunks(b.column("text")):
                 x = Lines(data, off)
-                _, first = np.unique(x.ids(), return_index=True)
-                x.start, x.end = x.start[first], x.end[first]
-                raw = data.tobytes()
+                ids = x.ids()
+                _, first = np.unique(ids, return_index=True)
+                first = first[common.in_bitmap(slots.value, _slot(ids[first]))]
+                x.start, x.end, raw = x.start[first], x.end[first], data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ids().view(np.int64)), pa.array(_second(data, x.start, x.end)),
+                    [pa.array(ids[first].view(np.int64)), pa.array(_second(data, x.start, x.end)),
                      pa.array([raw[s:e] for s, e in zip(x.start.tolist(), x.end.tolist())], pa.binary())],
                     names=["id", "check", "body"])
 
     lines = (rows.select("text").mapInArrow(run, "id long, check long, body binary")
-             .where(probe(slot)).join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "check"]))
+             .join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "check"]))
     lines = common.checkpointed(lines)
     side = lambda x: lines.select(F.col("id").alias(f"id{x}"), F.col("check").alias(f"check{x}"),
                                   F.col("body").alias(f"body{x}"))
@@ -266,7 +270,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"))
     live = common.checkpointed(_keys(rows, probe=True).join(pivots, "key").where("NOT (p = q AND p = id)"))
     order = lambda d: d.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()
-    star = order(live.where((F.col("id") != F.col("p")) & _can_match("id", "p"))
+    star = order(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
                  .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
     found = common.checkpointed(_confirmed(common.checkpointed(star), rows))
     early = (_bounds(first, found).join(first, ["id", "check"]).where(F.col("bound") < F.col("place"))
@@ -298,13 +302,18 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 
 def _with_cut(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a struct column (n_lines, n_removed, kept text)."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias(f"{name}_id"), F.col("text_key").alias(f"{name}_key"),
-                                      F.col("gone").alias(f"{name}_gone"))
+    """``docs`` with a struct column (n_lines, n_removed, kept text). Texts that lose nothing are not shuffled."""
+    gone = common.checkpointed(removed_lines(docs).select(
+        F.col("doc_id").alias(f"{name}_id"), F.col("text_key").alias(f"{name}_key"), F.col("gone").alias(f"{name}_gone")))
+    touched = common.may_hold(gone.select(f"{name}_key"))
     udf = F.arrow_udf(_cut, "struct<n_lines:bigint,n_removed:bigint,kept:string>")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}_id")) & (_text_key() == F.col(f"{name}_key"))
-    return docs.join(gone.hint("shuffle_hash"), on, "left").withColumn(
-        name, udf(F.col("text").cast("string"), F.col(f"{name}_gone"))).drop(f"{name}_id", f"{name}_key", f"{name}_gone")
+    text = F.col("text").cast("string")
+    flagged = docs.withColumn(f"{name}_maybe", touched(_text_key()))
+    part = (flagged.where(f"{name}_maybe").join(gone.hint("shuffle_hash"), on, "left")
+            .withColumn(name, udf(text, F.col(f"{name}_gone"))))
+    whole = flagged.where(f"NOT {name}_maybe").withColumn(name, udf(text, F.lit(None).cast("array<int>")))
+    return part.select(*docs.columns, name).union(whole.select(*docs.columns, name))
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
