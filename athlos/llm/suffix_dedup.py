@@ -4,7 +4,7 @@ A byte goes if it lies in a string of ``WIDTH`` bytes that also starts anywhere
 suffix of the corpus is not needed: a repeated string contains the same anchors wherever it stands.
 
 1. Anchors are the minimizers of ``GRAM``-byte hashes over each ``WIDTH``-byte window, so every such window holds one,
-   chosen by the window's content alone. About one position in 85 is an anchor. Texts are keyed by their MD5, so
+   chosen by the window's content alone. About one position in 53 is an anchor. Texts are keyed by their MD5, so
    copies count once; copies of at least ``WIDTH`` bytes are repeated as a whole.
 2. Anchors whose gram occurs once are dropped by a grouped count. The others fetch their context from the text: up to
    ``WIDTH`` bytes to the right (the suffix) and ``WIDTH - GRAM`` to the left. Equal contexts of a text travel once.
@@ -12,7 +12,7 @@ suffix of the corpus is not needed: a repeated string contains the same anchors
    to a shallow depth, then a blind trie for each group that is still tied. The order gives the tree of common
    prefixes; at each of its nodes (depth r), ordering the members by their reversed left contexts gives the longest
    common left l. Where l + r >= ``WIDTH``, the bytes from l before the anchor to r after it are repeated.
-4. A gram with more than ``HOT`` contexts (a passage that many documents share) is not gathered in a task: each of its
+4. A gram at more than ``HOT`` places (a passage that many documents share) is not gathered in a task: each of its
    contexts sends a 128-bit hash per window around the anchor, and grouped counts say which windows repeat.
 5. The spans go back to their texts, are merged, and cut.
 
@@ -26,16 +26,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textkit
 
 WIDTH = 200
-GRAM = 32
+GRAM = 96                   # long enough that short shared lines make no anchors in common
 LEFT = WIDTH - GRAM
 SHALLOW = 5                 # 8-byte keys that multikey quicksort compares: the gram's hash and its 32 bytes
-HOT = 4096
+HOT = 1 << 15               # places of a gram that one task may gather: some 40 MB
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -191,27 +191,33 @@ _SPANS = "key binary, spans array<struct<start:int,stop:int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, body, key (MD5) and short (its first 8 bytes as a long; a shared one only adds contexts)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).select(
-        "doc_id", "body", F.unhex(F.md5("body")).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).withColumn("digest", F.md5("body"))
+    return rows.select("doc_id", "body", F.unhex("digest").alias("key"), _short("digest").alias("short"))
+
+
+def _short(digest: str) -> Column:
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """(key, gram, place) of every anchor."""
+    """(gram, short, place) of every anchor."""
     def run(batches):
         for b in batches:
+            short = b.column("short").to_numpy()
             for first, data, off in textkit.chunks(b.column("body")):
                 key, gram, place = [], [], []
                 for i in range(len(off) - 1):
                     at, h = anchors(data[off[i]:off[i + 1]])
-                    key.append(np.full(len(at), first + i))
+                    key.append(np.full(len(at), short[first + i]))
                     gram.append(h)
                     place.append(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key").take(pa.array(np.concatenate(key))), pa.array(np.concatenate(gram).view(np.int64)),
-                     pa.array(np.concatenate(place), pa.int32())], names=["key", "gram", "place"])
+                    [pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(key)),
+                     pa.array(np.concatenate(place), pa.int32())], names=["gram", "short", "place"])
 
-    return rows.select("key", "body").mapInArrow(run, "key binary, gram long, place int")
+    return rows.select("short", "body").mapInArrow(run, "gram long, short long, place int")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -334,35 +340,48 @@ def _merge(spans) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keyed texts: key, n, copies, rep) and (key, spans) of the repeated strings of each distinct text."""
+    """(distinct texts: key, short, n, copies, rep) and (key, spans) of the repeated strings of each distinct text."""
     rows = _keyed(docs)
     texts = common.checkpointed(rows.groupBy("key").agg(
-        F.first(F.octet_length("body")).cast("long").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
-    found = common.checkpointed(_anchor_rows(rows).distinct())
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    shared = found.join(twice, "gram").groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
-    shared = shared.join(texts.select("key", "rep"), "key")
-    whole = F.sort_array("at").alias("at")
-    # the key and the id together spread the copies of a text; one copy is enough, equal contexts count once
-    joined = (rows.join(shared.withColumnRenamed("key", "k").hint("shuffle_hash"),
-                        (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-              .select("key", "body", whole))
-    contexts = common.checkpointed(_contexts(joined).dropDuplicates(["gram", "digest", "key"]))
-    size = contexts.groupBy("gram").agg(F.count("*").alias("size"))
-    marked = contexts.join(size, "gram")
-    few = (marked.where(F.col("size") <= HOT).drop("size").repartition("gram").sortWithinPartitions("gram")
+        F.first("short").alias("short"), F.first(F.octet_length("body")).cast("long").alias("n"),
+        F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
+    # a gram is shared if it stands at two different places; the places are told apart by a hash
+    at = F.xxhash64("short", "place")
+    grams = common.checkpointed(_anchor_rows(rows).groupBy("gram")
+                                .agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n"))
+                                .where("lo != hi").select("gram", (F.col("n") > HOT).alias("hot")))
+    maybe = common.may_hold(grams.select("gram"))
+    shared = (_anchor_rows(rows).where(maybe(F.col("gram"))).join(grams, "gram")
+              .groupBy("short").agg(F.collect_set(F.struct("place", "gram", "hot")).alias("at")))
+    # one copy of a text is enough; key and id together spread the copies over the tasks
+    shared = common.checkpointed(shared.join(texts.select("short", "key", "rep"), "short").select("key", "rep", "short", "at"))
+    few = (_fetched(rows, shared, hot=False).repartition("gram").sortWithinPartitions("gram")
            .mapInArrow(_sorted_groups, _SPANS))
-    many = _hot_spans(marked.where(F.col("size") > HOT).drop("size"))
-    return texts, few.union(many)
+    if grams.where("hot").limit(1).count():
+        few = few.union(_hot_spans(common.checkpointed(_fetched(rows, shared, hot=True))))
+    return texts, few
+
+
+def _fetched(rows: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:
+    """Contexts of the texts' anchors with hot, or with other grams."""
+    own = F.filter("at", lambda x: x["hot"] == hot)
+    shared = shared.withColumn("at", own).where(F.size("at") > 0)
+    near = common.may_hold(shared.select("short"))
+    return _contexts(rows.where(near(F.col("short")))
+                     .join(shared.select(F.col("key").alias("k"), "rep", "at").hint("shuffle_hash"),
+                           (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+                     .select("key", "body", F.sort_array("at").alias("at")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, body (bytes), kept (bytes), spans (removed, merged) of every document."""
     texts, spans = repeated_spans(docs)
-    per_text = common.checkpointed(spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    per_text = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # a text with copies of at least WIDTH bytes is repeated as a whole
     cuts = texts.join(per_text, "key", "left").withColumn("gone", (F.col("copies") > 1) & (F.col("n") >= WIDTH)).where(
-        "gone OR spans IS NOT NULL").select(F.col("key").alias("k"), "gone", "spans")
+        "gone OR spans IS NOT NULL").select(F.col("key").alias("k"), "short", "gone", "spans")
+    cuts = common.checkpointed(cuts)
+    touched = common.may_hold(cuts.select("short"))
 
     def cut(body: pa.Array, spans: pa.Array, gone: pa.Array) -> pa.Array:
         kept, merged = [], []
@@ -375,9 +394,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(merged, kind)], names=["kept", "spans"])
 
     udf = F.arrow_udf(cut, "struct<kept:binary,spans:array<struct<start:int,stop:int>>>")
-    return (_keyed(docs).join(cuts.hint("shuffle_hash"), F.col("key") == F.col("k"), "left")
+    rows = _keyed(docs).withColumn("touched", touched(F.col("short")))
+    part = (rows.where("touched").join(cuts.drop("short").hint("shuffle_hash"), F.col("key") == F.col("k"), "left")
             .select("doc_id", "body", udf("body", "spans", F.coalesce("gone", F.lit(False))).alias("x"))
             .select("doc_id", "body", "x.kept", "x.spans"))
+    # texts that lose nothing stay where they are
+    whole = rows.where("NOT touched").select("doc_id", "body", F.col("body").alias("kept"),
+                                             F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    return part.union(whole)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
