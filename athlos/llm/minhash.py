@@ -3,10 +3,9 @@
 1. One pass over the whole texts gives each document its set size, its sketch (the ``K`` smallest 63-bit hashes of
    its distinct word shingles) and a 128-bit fingerprint of the full set. Documents with equal sets collapse to one
    class by a grouped minimum, so copies never form pairs.
-2. Retained values make inverted lists. Two sets with similarity >= s share at least ``t`` retained values (all of
-   ceil(s * n) when the sketch holds the whole set; otherwise ``K / 2``, six standard deviations below the expected
-   number), so it is enough to list each sketch under its ``m - t + 1`` rarest values, and very common
-   shingles make no long lists. Values held by one class are dropped.
+2. Retained values make inverted lists, under pairs of neighbouring values: similar sets share many such pairs,
+   while documents that only share common shingles rarely share one. Two similar sets share at least ``t`` pairs
+   (see ``_lists``); pairs of one class, and classes with fewer shared pairs, are dropped.
 3. Round one pairs each list member with the list's hub only (linear): the member most of whose retained values
    others hold, which among edited copies is the least edited. Pairs pass a size filter and the union-sketch
    estimate, then exact Jaccard on the full sets confirms them. Round two takes the classes of the lists that round
@@ -109,23 +108,31 @@ def _rarest(value: str, need: Column, sizes: Column) -> Column:
 
 
 def _shared_values(rows: DataFrame, values: str) -> DataFrame:
-    """(fp, shared): the values of each row that another row holds too, rare first, as (df, v)."""
-    each = rows.select("fp", F.explode(values).alias("v"))
-    held = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    return (each.join(held, "v").groupBy("fp")
+    """(rid, shared): the values of each row that another row holds too, rare first, as (df, v)."""
+    each = rows.select("rid", F.explode(values).alias("v"))
+    held = each.groupBy("v").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    return (each.join(held, "v").groupBy("rid")
             .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared")))    # at most one set or sketch
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(v, fp, cid, hub): each class under its rarest retained values that another class holds too. ``hub`` is the
-    share of its retained values that others hold: highest for the least edited of a group of copies."""
-    need = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(K // 2))
-    m = F.size("sketch")
-    rows = classes.join(_shared_values(classes, "sketch"), "fp")
-    return (rows.withColumn("take", _rarest("shared", need, m)).where("take > 0")
-            .select(F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x"), "fp", "cid",
-                    (F.size("shared") / m).alias("hub"))
-            .select("x.v", "fp", "cid", "hub"))
+    """(v, fp, cid, need, hub): each class under its pairs of neighbouring retained values that another class has too.
+    ``hub`` is the share of its pairs that others have: highest for the least edited of a group of copies. ``need`` is
+    the number of pairs that a similar class must share; a class with fewer shared pairs is not listed.
+
+    With d differing values in a union of u, at least u - 2d - 1 neighbouring pairs are common, where d is at most
+    (1 - similarity) * u. This is exact for sets that fit the sketch; beyond, it holds in the sketch up to a deviation of
+    d, and ``K / 8`` common pairs is over four standard deviations below even that bound (37 pairs at 0.8).
+    """
+    pairs = F.when(F.size("sketch") < 2, F.col("sketch")).otherwise(
+        F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch")),
+                   lambda a, b: F.xxhash64(a, b)))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * (2 * percent - 100) / 100 - 1))
+    need = F.when(F.col("n") * 100 <= K * percent, least).otherwise(F.lit(K // 8))
+    rows = classes.withColumn("pairs", pairs).withColumn("need", need.cast("int"))
+    rows = rows.join(_shared_values(rows, "pairs"), "rid").where(F.size("shared") >= F.col("need"))
+    return (rows.select(F.explode("shared").alias("x"), "fp", "cid", "need", (F.size("shared") / F.size("pairs")).alias("hub"))
+            .select("x.v", "fp", "cid", "need", "hub"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -142,8 +149,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(fp, items) of the documents in ``ids`` (doc_id). Hashing the ids' side keeps texts out of any sort."""
+    ids = common.checkpointed(ids.distinct())
+    maybe = common.may_hold(ids)
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
+             .where(maybe(F.col("doc_id"))).join(ids.hint("shuffle_hash"), "doc_id", "left_semi"))
     return full_sets(texts, n)
 
 
@@ -157,14 +166,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``rest`` (fp, cid, n, items, component) in different components that can reach the similarity.
+    """Pairs of ``rest`` (rid, fp, cid, n, items, component) in different components that can reach the similarity.
 
     Exact prefix filter on the full sets, rare values first. Where a pair meets first, its overlap is at most the
     smaller number of held values from there on; values that no other row holds come before all others, so this
     drops most edited copies without pairing them.
     """
     need = F.ceil(F.col("n") * percent / 100)
-    rows = rest.join(_shared_values(rest, "items"), "fp").withColumn("e", F.size("shared").cast("long"))
+    rows = rest.join(_shared_values(rest, "items"), "rid").withColumn("e", F.size("shared").cast("long"))
     listed = common.checkpointed(
         rows.withColumn("take", _rarest("shared", need, F.col("n"))).where("take > 0")
         .select(F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "x"), "fp", "cid", "n", "e", "component")
@@ -181,10 +190,12 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = common.checkpointed(sketches(docs, n))
-    linked = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = common.checkpointed(linked.groupBy("fp").agg(
-        F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    linked = "n > 0 AND doc_id IS NOT NULL"
+    # sketches are kept once per class; the documents' fingerprints are taken again at the end, which costs less
+    # than holding every document's sketch
+    classes = common.checkpointed(sketches(docs, n).where(linked).groupBy("fp").agg(
+        F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("rid", F.monotonically_increasing_id()))                    # a short name for a class
     lists = common.checkpointed(_lists(classes, percent))
     # round one: every member with its list's hub
     hubs = lists.groupBy("v").agg(F.max(F.struct("hub", (-F.col("cid")).alias("order"), "fp")).alias("p"))
@@ -193,21 +204,30 @@ def near_duplicates(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCEN
     likely = common.checkpointed(_likely(star, classes, percent))
     ids = likely.select(F.col("ca").alias("doc_id")).union(likely.select(F.col("cb").alias("doc_id")))
     found = common.checkpointed(_verified(likely, common.checkpointed(_sets_of(docs, ids, n)), percent))
+    del star, likely, ids, hubs
     # round two: what a list still holds in different components
     now = lists.join(common.components(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     split = now.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = common.checkpointed(now.join(split.select("v"), "v").select("fp", "cid", "component").distinct())
+    # a class with a similar one elsewhere shares that many pairs with it, each in a list of several components
+    mixed = common.checkpointed(now.join(split.select("v"), "v").groupBy("fp", "cid", "component", "need")
+                                .agg(F.count("*").alias("times")).where("times >= need").select("fp", "cid", "component")
+                                .withColumn("rid", F.monotonically_increasing_id()))
     sets = common.checkpointed(_sets_of(docs, mixed.select(F.col("cid").alias("doc_id")), n))
     rest = mixed.join(sets, "fp").withColumn("n", F.size("items").cast("long"))
     links = found.union(_verified(common.checkpointed(_across(rest, percent)), sets, percent))
+    links = common.checkpointed(links)
+    names = classes.select("fp", "cid")
+    del rest, sets, mixed, now, lists
+    rows = common.checkpointed(sketches(docs, n).select("doc_id", "n", "fp"))
+    linked = rows.where(linked)
     # rows of one doc_id are one document: its classes are linked through it
-    same = (linked.select("doc_id", "fp").join(classes.select("fp", "cid"), "fp").where("doc_id != cid")
+    same = (linked.select("doc_id", "fp").join(names, "fp").where("doc_id != cid")
             .select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
             .join(linked.groupBy(F.col("doc_id").alias("a")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
                   .where("lo != hi").select("a"), "a", "left_semi"))
     group = common.components(links.union(same))
-    cls = (classes.select("fp", "cid").join(group.withColumnRenamed("node", "cid"), "cid", "left")
+    cls = (names.join(group.withColumnRenamed("node", "cid"), "cid", "left")
            .select("fp", F.coalesce("component", "cid").alias("component")))
     own = linked.select("doc_id", "n", "fp").join(cls, "fp").select("doc_id", "n", "component")
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -223,8 +243,14 @@ def dedupe(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCENT) -> Dat
     found = common.checkpointed(near_duplicates(docs, n, percent).where("doc_id IS NOT NULL")
                                 .groupBy(F.col("doc_id").alias(key)).agg(F.min("kept").alias("kept"),
                                                                         F.count("*").alias("times")))
-    on = F.col("doc_id").cast("long") == F.col(key)
-    once = docs.join(found.where("NOT kept OR times > 1").select(key), on, "left_anti")
+    doc_id = F.col("doc_id").cast("long")
+    on = doc_id == F.col(key)
+    drop = common.checkpointed(found.where("NOT kept OR times > 1").select(key))
+    flag, maybe = common.fresh(docs, "document_maybe"), common.may_hold(drop)
+    flagged = docs.withColumn(flag, maybe(doc_id))
+    # documents that surely stay are not shuffled
+    once = (flagged.where(f"NOT {flag}").drop(flag)
+            .union(flagged.where(flag).drop(flag).join(drop.hint("shuffle_hash"), on, "left_anti")))
     again = docs.join(found.where("kept AND times > 1").select(key), on, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return once.union(again.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(key)).select(f"{key}.*"))
