@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, textkit
 
-CACHE_PIECES = 200_000      # cached pieces per Python worker; the cache restarts when it is full
+CACHE_PIECES = 100_000      # cached pieces per Python worker; the cache restarts when it is full
 CACHE_CHARS = 48            # longer pieces are not kept
 _CUT = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")

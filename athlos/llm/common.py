@@ -15,8 +15,8 @@ from ..session import ensure_checkpoint_dir
 
 # Rows in one Arrow batch sent to Python. A batch also ends at ARROW_BYTES, so a batch of very long texts stays
 # small; one text is the least a batch can hold.
-ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 500
+ARROW_BYTES = 8 << 20
 
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
