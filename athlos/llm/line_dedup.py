@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines (split at \\n) of at least ``MIN_BYTES`` UTF-8 bytes are compared across the corpus. A line goes if an earlier
-one, by (doc_id, text hash, line number), is within ``EDITS`` byte edits of it; shorter lines always stay.
+one, by (doc_id, text hash, line number), is within ``EDITS`` byte edits of it. With ``exact_from`` below ``MIN_BYTES``
+exact copies of shorter non-blank lines of at least that many bytes go too; all other shorter lines stay.
 
 1. Equal lines meet by a 128-bit hash: a grouped minimum gives each distinct line its first place.
 2. A line of length l is cut into ``EDITS`` + 1 segments. Two lines within that distance share a segment unchanged, so
@@ -69,8 +70,13 @@ _PAIR_BIT = np.uint64(1) << (textkit.mix(np.arange(1 << 16, dtype=np.uint64) + n
 class Lines:
     """Hashes of the eligible lines of a chunk."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.start, self.end, self.row, self.number = split_lines(data, off, MIN_BYTES)
+    def __init__(self, data: np.ndarray, off: np.ndarray, least: int = MIN_BYTES):
+        lines = split_lines(data, off, least)
+        if least < MIN_BYTES:
+            ink = np.concatenate([[0], np.cumsum(~textkit.SPACE[data])])
+            keep = (lines[1] - lines[0] >= MIN_BYTES) | (ink[lines[1]] > ink[lines[0]])
+            lines = [x[keep] for x in lines]
+        self.start, self.end, self.row, self.number = lines
         n = len(data)
         value = (data.astype(np.uint64) + np.uint64(1)) * _power(n, "up", _ODD)
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
@@ -180,12 +186,12 @@ def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
                      for s, e in zip(start.tolist(), end.tolist())], np.int64)
 
 
-def places(rows: DataFrame) -> DataFrame:
+def places(rows: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     """(id, check, doc_id, text_key, line) of every eligible line."""
     def run(batches):
         for b in batches:
             for first, data, off in textkit.chunks(b.column("text")):
-                x = Lines(data, off)
+                x = Lines(data, off, min(exact_from, MIN_BYTES))
                 at = pa.array(first + x.row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.ids().view(np.int64)), pa.array(_second(data, x.start, x.end)),
@@ -260,10 +266,10 @@ def _bounds(first: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.min("bound").alias("bound")))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     """(doc_id, text_key, gone: array of line numbers) of the documents that lose lines."""
     rows = _keyed(docs)
-    seen = common.checkpointed(places(rows))
+    seen = common.checkpointed(places(rows, exact_from))
     place = F.struct("doc_id", "text_key", "line")
     first = common.checkpointed(seen.groupBy("id", "check").agg(F.min(place).alias("place"), F.max(place).alias("last")))
     index = common.checkpointed(_keys(rows, probe=False))
@@ -301,9 +307,9 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
                                       names=["n_lines", "n_removed", "kept"])
 
 
-def _with_cut(docs: DataFrame, name: str) -> DataFrame:
+def _with_cut(docs: DataFrame, name: str, exact_from: int) -> DataFrame:
     """``docs`` with a struct column (n_lines, n_removed, kept text). Texts that lose nothing are not shuffled."""
-    gone = common.checkpointed(removed_lines(docs).select(
+    gone = common.checkpointed(removed_lines(docs, exact_from).select(
         F.col("doc_id").alias(f"{name}_id"), F.col("text_key").alias(f"{name}_key"), F.col("gone").alias(f"{name}_gone")))
     touched = common.may_hold(gone.select(f"{name}_key"))
     udf = F.arrow_udf(_cut, "struct<n_lines:bigint,n_removed:bigint,kept:string>")
@@ -316,17 +322,17 @@ def _with_cut(docs: DataFrame, name: str) -> DataFrame:
     return part.select(*docs.columns, name).union(whole.select(*docs.columns, name))
 
 
-def dedupe_lines(docs: DataFrame) -> DataFrame:
+def dedupe_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, text (what is left)."""
     name = common.fresh(docs, "line_cut")
-    return _with_cut(docs, name).select(F.col("doc_id").cast("long").alias("doc_id"), f"{name}.n_lines",
+    return _with_cut(docs, name, exact_from).select(F.col("doc_id").cast("long").alias("doc_id"), f"{name}.n_lines",
                                         f"{name}.n_removed", F.col(f"{name}.kept").alias("text"))
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; documents left blank by that go."""
     name = common.fresh(docs, "line_cut")
-    cut = _with_cut(docs, name).where((F.col(f"{name}.n_removed") == 0) | F.col(f"{name}.kept").rlike(r"\S"))
+    cut = _with_cut(docs, name, exact_from).where((F.col(f"{name}.n_removed") == 0) | F.col(f"{name}.kept").rlike(r"\S"))
     out = []
     for c in docs.columns:
         if c.lower() == "text":
@@ -344,6 +350,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_line_dedup_all_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op1_line_dedup`` with exact copies of every non-blank line removed, however short."""
+    return dedupe_lines(common.read(spark, sf_dir, "documents"), exact_from=1).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 SQL = f"""
 WITH l AS (SELECT doc_id, i, t, strlen(t) AS n FROM (
         SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
@@ -356,3 +368,18 @@ k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_remo
         string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id)"""
+
+ALL_COPIES_SQL = f"""
+WITH l AS (SELECT doc_id, i, t, strlen(t) AS n FROM (
+        SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''))),
+f AS (SELECT t, n, min((doc_id, i)) AS place FROM l
+      WHERE n >= {MIN_BYTES} OR regexp_matches(t, '[^\\x20\\x09-\\x0D]') GROUP BY t, n),
+p AS (SELECT a.t, b.place FROM f a JOIN f b ON a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES}
+      AND b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND levenshtein(a.t, b.t) <= {EDITS}),
+e AS (SELECT t, min(place) AS bound FROM (SELECT t, place FROM f UNION ALL SELECT t, place FROM p) GROUP BY t),
+r AS (SELECT l.doc_id, l.i, l.t, e.bound IS NOT NULL AND (l.doc_id, l.i) > e.bound AS gone FROM l LEFT JOIN e ON l.t = e.t),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+        string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)"""

@@ -68,6 +68,16 @@ def test_line_dedup_matches_all_pairs(docs, rows, empty):
     assert line_dedup.dedupe_lines(empty).count() == 0
 
 
+def test_short_exact_copies_go(spark):
+    short = "Released under the MIT License."
+    assert len(short) == line_dedup.MIN_BYTES - 1
+    docs = spark.createDataFrame([(1, f"{short}\n\n  \nOne.\nOnce."), (2, f"Two.\n{short}\n\n  "), (3, "One.\n" + short)],
+                                 "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedupe_lines(docs, exact_from=1).collect()}
+    assert left == {1: f"{short}\n\n  \nOne.\nOnce.", 2: "Two.\n\n  ", 3: ""}
+    assert [r["doc_id"] for r in line_dedup.remove(docs, exact_from=1).orderBy("doc_id").collect()] == [1, 2]
+
+
 # 2 near-dedup
 
 @pytest.mark.parametrize("n", [2, 5])
