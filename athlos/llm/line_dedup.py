@@ -12,7 +12,8 @@ exact copies of shorter non-blank lines of at least that many bytes go too; all
    meetings inside the join.
 3. Round one compares each probe with one line per key only. Round two compares the other lines of a key, but only
    pairs with a line that has no earlier neighbour yet, so many variants of one line do not make all their pairs.
-4. Banded bit-parallel edit distance on the bytes confirms each pair.
+4. Banded bit-parallel edit distance on the bytes confirms each pair. Different lines that share an id are told apart
+   by the second hash; they are compared whatever their keys.
 5. Removed line numbers go back to their documents.
 
 Defined cases: null or empty text has no lines; rows that share doc_id and text are one document; a null doc_id
@@ -186,6 +187,22 @@ def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
                      for s, e in zip(start.tolist(), end.tolist())], np.int64)
 
 
+def _distinct(x: Lines, ids: np.ndarray) -> np.ndarray:
+    """Positions of the different lines of a chunk; only lines that share an id need their second hash for that."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    order = np.argsort(ids, kind="stable")
+    equal = ids[order][1:] == ids[order][:-1]
+    shared = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    many = order[shared]
+    check = _second(x.data, x.start[many], x.end[many])
+    by = np.lexsort((check, ids[many]))
+    many, check = many[by], check[by]
+    new = np.ones(len(many), bool)
+    new[1:] = (ids[many][1:] != ids[many][:-1]) | (check[1:] != check[:-1])
+    return np.sort(np.concatenate([order[~shared], many[new]]))
+
+
 def places(rows: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     """(id, check, doc_id, text_key, line) of every eligible line."""
     def run(batches):
@@ -207,9 +224,9 @@ def _keys(rows: DataFrame, probe: bool) -> DataFrame:
         for b in batches:
             for _, data, off in textkit.chunks(b.column("text")):
                 x = Lines(data, off)
-                _, first = np.unique(x.ids(), return_index=True)
-                x.start, x.end = x.start[first], x.end[first]
                 ids = x.ids()
+                first = _distinct(x, ids)
+                x.start, x.end, ids = x.start[first], x.end[first], ids[first]
                 for line, key in (x.probe_keys() if probe else x.index_keys()):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[line].view(np.int64))],
                                                      names=["key", "id"])
@@ -239,8 +256,9 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             for _, data, off in textkit.chunks(b.column("text")):
                 x = Lines(data, off)
                 ids = x.ids()
-                _, first = np.unique(ids, return_index=True)
-                first = first[common.in_bitmap(slots.value, _slot(ids[first]))]
+                first = np.flatnonzero(common.in_bitmap(slots.value, _slot(ids)))
+                x.start, x.end, ids = x.start[first], x.end[first], ids[first]
+                first = _distinct(x, ids)
                 x.start, x.end, raw = x.start[first], x.end[first], data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first].view(np.int64)), pa.array(_second(data, x.start, x.end)),
@@ -254,7 +272,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                                   F.col("body").alias(f"body{x}"))
     near = F.arrow_udf(lambda a, b: pa.array([within(x, y, EDITS) for x, y in zip(a.to_pylist(), b.to_pylist())],
                                              pa.bool_()), "boolean")
-    return (pairs.join(side("a"), "ida").join(side("b"), "idb").where(near("bodya", "bodyb"))
+    return (pairs.join(side("a"), "ida").join(side("b"), "idb")
+            .where((F.col("ida") != F.col("idb")) | (F.col("checka") < F.col("checkb"))).where(near("bodya", "bodyb"))
             .select("ida", "checka", "idb", "checkb"))
 
 
@@ -272,15 +291,18 @@ def removed_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     seen = common.checkpointed(places(rows, exact_from))
     place = F.struct("doc_id", "text_key", "line")
     first = common.checkpointed(seen.groupBy("id", "check").agg(F.min(place).alias("place"), F.max(place).alias("last")))
+    # ids of several lines: each of their lines meets the others here, and none counts as settled for another
+    twins = common.checkpointed(first.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     index = common.checkpointed(_keys(rows, probe=False))
     pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"))
     live = common.checkpointed(_keys(rows, probe=True).join(pivots, "key").where("NOT (p = q AND p = id)"))
     order = lambda d: d.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()
     star = order(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
                  .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
-    found = common.checkpointed(_confirmed(common.checkpointed(star), rows))
+    star = common.checkpointed(star.union(twins.select(F.col("id").alias("ida"), F.col("id").alias("idb"))))
+    found = common.checkpointed(_confirmed(star, rows))
     early = (_bounds(first, found).join(first, ["id", "check"]).where(F.col("bound") < F.col("place"))
-             .select("id").distinct().withColumn("settled", F.lit(True)))
+             .select("id").distinct().join(twins, "id", "left_anti").withColumn("settled", F.lit(True)))
     more = live.where("p != q").select("key", "id").distinct().join(early, "id", "left")
     others = (index.join(live.where("p != q").select("key").distinct(), "key", "left_semi").distinct()
               .join(early, "id", "left"))

@@ -78,6 +78,40 @@ def test_short_exact_copies_go(spark):
     assert [r["doc_id"] for r in line_dedup.remove(docs, exact_from=1).orderBy("doc_id").collect()] == [1, 2]
 
 
+def lines_sharing_an_id(make, count):
+    """The first two of ``make(0)``, ``make(1)``, ... of one length whose line ids are equal."""
+    texts = [make(k) for k in range(count)]
+    off = np.cumsum([0] + [len(t) for t in texts])
+    ids = line_dedup.Lines(np.frombuffer("".join(texts).encode(), np.uint8), off).ids()
+    order = np.argsort(ids, kind="stable")
+    at = np.flatnonzero(ids[order][1:] == ids[order][:-1])[0]
+    return [texts[i] for i in sorted(order[at:at + 2])]
+
+
+def test_different_lines_with_one_id(spark):
+    import itertools
+    words = ["alpha", "bravo", "cedar", "delta", "eagle", "flint", "grape"]
+    orders = list(itertools.permutations(words))
+    a, b = lines_sharing_an_id(lambda k: "start " + " ".join(orders[k]) + " the end", len(orders))
+    assert cases.edits(a.encode(), b.encode()) > 2
+    rows = [(1, a), (2, b), (3, b[:-1] + "D"), (4, b), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedupe_lines(docs).collect()}
+    assert left == {1: a, 2: b, 3: "", 4: "", 5: ""}
+
+
+def test_neighbours_with_one_id(spark):
+    def pair(k):                                  # both orders have the same byte pairs and differ in two bytes
+        x, y = (("m", "w"), ("w", "m"))[k % 2]
+        return f"k{x}z {k // 2:06d} and some more of this line k{y}z"
+    texts = [pair(k) for k in range(600_000)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids = line_dedup.Lines(data, np.arange(len(texts) + 1) * len(texts[0])).ids()
+    k = 2 * int(np.flatnonzero(ids[::2] == ids[1::2])[0])
+    docs = spark.createDataFrame([(1, texts[k]), (2, texts[k + 1])], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedupe_lines(docs).orderBy("doc_id").collect()] == [texts[k], ""]
+
+
 # 2 near-dedup
 
 @pytest.mark.parametrize("n", [2, 5])
