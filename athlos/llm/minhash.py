@@ -15,8 +15,9 @@
 4. Components of the confirmed links by star contraction, carried back over the fingerprints.
 
 Defined cases: null or empty text has an empty set, linked with nothing. A null ``doc_id`` is linked with nothing
-(component null, kept true). Rows with one ``doc_id`` are one document and so share a component. An empty table gives an
-empty result. Extra columns are ignored, and ``dedupe`` keeps them.
+(component null, kept true). Rows with one ``doc_id`` are one document and so share a component; ``dedupe`` takes
+(doc_id, text) as the document instead. An empty table gives an empty result. Extra columns are ignored, and ``dedupe``
+keeps them.
 """
 
 from __future__ import annotations
@@ -236,24 +237,50 @@ def near_duplicates(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCEN
         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _named(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column that names the (doc_id, text) of a row, and (name, doc_id) of the rows whose ``doc_id``
+    stands with other texts too (None without such rows): their name is a 64-bit hash, otherwise it is ``doc_id``."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key, flag = common.fresh(docs, "shared_id"), common.fresh(docs, "shared_maybe")
+    shared = common.checkpointed(docs.where(doc_id.isNotNull()).groupBy(doc_id.alias(key))
+                                 .agg(F.min(F.xxhash64(text)).alias("lo"), F.max(F.xxhash64(text)).alias("hi"))
+                                 .where("lo != hi").select(key))
+    if shared.isEmpty():
+        return docs.withColumn(name, doc_id), None
+    flagged = docs.withColumn(flag, common.may_hold(shared)(doc_id))
+    part = (flagged.where(flag).join(shared.hint("shuffle_hash"), doc_id == F.col(key), "left")
+            .withColumn(name, F.when(F.col(key).isNotNull(), F.xxhash64(doc_id, text)).otherwise(doc_id)))
+    ids = part.where(F.col(key).isNotNull()).select(name, F.col(key).alias("first_id")).distinct()
+    whole = flagged.where(f"NOT {flag}").withColumn(name, doc_id)
+    return part.select(*docs.columns, name).union(whole.select(*docs.columns, name)), ids
+
+
 def dedupe(docs: DataFrame, n: int = STAGE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate group (the smallest ``doc_id`` stays; of rows
-    that share a ``doc_id`` the one with the smallest text)."""
-    key = common.fresh(docs, "document_key")
-    found = common.checkpointed(near_duplicates(docs, n, percent).where("doc_id IS NOT NULL")
-                                .groupBy(F.col("doc_id").alias(key)).agg(F.min("kept").alias("kept"),
-                                                                        F.count("*").alias("times")))
-    doc_id = F.col("doc_id").cast("long")
-    on = doc_id == F.col(key)
+    """``docs`` without all but one row of each near-duplicate group (the smallest ``doc_id`` stays). Rows are one
+    document if they share ``doc_id`` and text; rows that share only ``doc_id`` go only as near-duplicates."""
+    name = common.fresh(docs, "document_name")
+    named, shared = _named(docs, name)
+    key = common.fresh(named, "document_key")
+    found = common.checkpointed(near_duplicates(named.select(F.col(name).alias("doc_id"), "text"), n, percent)
+                                .where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key))
+                                .agg(F.min("component_id").alias("component"), F.min("kept").alias("kept"),
+                                     F.count("*").alias("times")))
+    if shared is not None:                      # names are not in the order of doc_id there
+        first = (found.join(shared.withColumnRenamed(name, key), key, "left").groupBy("component")
+                 .agg(F.min(F.struct(F.coalesce("first_id", key).alias("first_id"), key)).alias("least"))
+                 .select(F.col(f"least.{key}").alias(key), F.lit(True).alias("least")))
+        found = common.checkpointed(found.join(first, key, "left").select(
+            key, F.coalesce("least", F.lit(False)).alias("kept"), "times"))
+    on = F.col(name) == F.col(key)
     drop = common.checkpointed(found.where("NOT kept OR times > 1").select(key))
-    flag, maybe = common.fresh(docs, "document_maybe"), common.may_hold(drop)
-    flagged = docs.withColumn(flag, maybe(doc_id))
+    flag, maybe = common.fresh(named, "document_maybe"), common.may_hold(drop)
+    flagged = named.withColumn(flag, maybe(F.col(name)))
     # documents that surely stay are not shuffled
     once = (flagged.where(f"NOT {flag}").drop(flag)
-            .union(flagged.where(flag).drop(flag).join(drop.hint("shuffle_hash"), on, "left_anti")))
-    again = docs.join(found.where("kept AND times > 1").select(key), on, "left_semi")
+            .union(flagged.where(flag).drop(flag).join(drop.hint("shuffle_hash"), on, "left_anti"))).drop(name)
+    again = named.join(found.where("kept AND times > 1").select(key), on, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.union(again.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(key)).select(f"{key}.*"))
+    return once.union(again.groupBy(name).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(key)).select(f"{key}.*"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

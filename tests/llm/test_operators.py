@@ -135,6 +135,15 @@ def test_dedupe_keeps_one_row_per_group(docs, rows, empty):
     assert minhash.dedupe(empty).count() == 0
 
 
+def test_dedupe_keeps_unrelated_texts_of_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (7, None), (9, b + " more"), (8, c), (5, a + " more"), (8, c + " more"), (8, c)]
+    out = minhash.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted(((r["doc_id"], r["text"] or "") for r in out if r["doc_id"] != 8))
+    assert left == [(5, a + " more"), (7, ""), (7, b)]
+    assert [r["text"] in (c, c + " more") for r in out if r["doc_id"] == 8] == [True]
+
+
 def test_a_chain_of_near_copies_is_one_group(spark):
     words = [f"w{i}" for i in range(60)]
     chain = [(k, " ".join(words[k:k + 40])) for k in range(12)]              # neighbours 0.95, ends below 0.8
