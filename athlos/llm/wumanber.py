@@ -10,9 +10,9 @@ Texts and items become sequences of words (lower-cased A-Z; letters, digits and
 
 A batch of texts is cut into overlapping lanes which all jump in lock step, so the jumps are vectorised.
 
-The benchmark is held against every document in blocks of at most ``BLOCK_BYTES`` of item text, so what a task
-loads has a fixed bound whatever the benchmark's size; one block (the usual case) needs no shuffle. Several blocks
-add their hit word positions per document.
+The benchmark is cut into blocks of about ``BLOCK_BYTES`` of item text, dealt by hash. One projection searches all of
+them, without a shuffle, and adds their hit word positions per document. So the driver and each Python worker hold the
+tables of the whole benchmark; ``BLOCK_BYTES`` bounds neither, only (about) a single broadcast.
 
 Defined cases: null text has no words; items without words match nothing; items with the same text, or repeated
 item rows, all count by their ``item_id`` (a null ``item_id`` hits words but adds no name); repeated documents are
@@ -184,7 +184,7 @@ def found_in(docs: DataFrame, benchmark: DataFrame):
     for k in blocks:
         part = items if len(blocks) == 1 else items.where(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(len(blocks))) == k)
-        tabs = sc.broadcast(tables([(r[0], r[1]) for r in part.collect()]))          # at most BLOCK_BYTES of text
+        tabs = sc.broadcast(tables([(r[0], r[1]) for r in part.collect()]))          # about BLOCK_BYTES of text
         out.append(_finder(tabs)(F.col("text").cast("string")))
     return out
 
