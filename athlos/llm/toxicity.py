@@ -283,10 +283,12 @@ class Bags:
             stop = np.cumsum(_STOP[data])
             sentence = stop[at] + first if len(at) else at
             first += (int(stop[-1]) if len(stop) else 0) + 1
-            parts.append((rows[row], sentence, ids[which]))
-        doc, sentence, unit = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3))
-        # a sentence belongs to one document: the pair names it
-        _, self.sentence = np.unique(np.column_stack([doc, sentence]), axis=0, return_inverse=True) if len(doc) else (0, sentence)
+            parts.append((rows[row].astype(np.int32), sentence.astype(np.int32), ids[which].astype(np.int32)))
+        doc, sentence, unit = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]) for k in range(3))
+        del parts
+        # a sentence belongs to one document: the pair names it, and it begins where either changes
+        new = np.concatenate([[True], (np.diff(sentence) != 0) | (np.diff(doc) != 0)]) if len(doc) else np.zeros(0, bool)
+        self.sentence = np.cumsum(new, dtype=np.int32)
         self.doc, self.unit, self.words = doc, unit, list(words)
         self.data = np.frombuffer(b"".join(self.words), np.uint8)
         size = np.array([len(w) for w in self.words], np.int64)
@@ -299,11 +301,14 @@ class Bags:
 
     def best_units(self, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, unit): of each document's ``most`` highest sentences the unit that scores highest."""
-        v = value[self.unit]
-        order = np.lexsort([self.unit, -v, self.sentence])
-        order = order[np.concatenate([[True], np.diff(self.sentence[order]) > 0])]           # one per sentence
-        order = order[np.lexsort([self.unit[order], -v[order], self.doc[order]])]
-        doc, unit = self.doc[order], self.unit[order]
+        if not len(self.unit):
+            return self.doc, self.unit
+        at = np.flatnonzero(np.diff(self.sentence, prepend=0))           # sentences lie one after the other
+        v = value.astype(np.float32)[self.unit]
+        top = np.maximum.reduceat(v, at)
+        unit = np.minimum.reduceat(np.where(v == top[self.sentence - 1], self.unit, len(value)), at)
+        order = np.lexsort([unit, -top, self.doc[at]])
+        doc, unit = self.doc[at][order], unit[order]
         fresh = np.concatenate([[True], np.diff(doc) > 0])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))
         keep = np.arange(len(doc)) - start < most
@@ -318,7 +323,7 @@ def kernel(a: tuple, n: int, b: tuple, m: int) -> np.ndarray:
     at = np.searchsorted(seen, a[1])
     hit = np.flatnonzero(seen[np.minimum(at, len(seen) - 1)] == a[1])
     out = np.zeros((n, m))
-    step = 1 << 17
+    step = 1 << 14
     for k in range(0, len(hit), step):
         h = hit[k:k + step]
         part = table[at[h]] * a[2][h][:, None]
@@ -342,7 +347,7 @@ def fit(texts: pa.Array, label: np.ndarray, share: float) -> Model:
     n = len(bags.words)
     if n < 2:
         return Model(None, np.array([share]))
-    pair = np.unique(bags.doc * n + bags.unit)
+    pair = np.unique(bags.doc.astype(np.int64) * n + bags.unit)
     toxic = np.bincount(pair % n, label[pair // n] == 1, n)
     clean = np.bincount(pair % n, label[pair // n] == 0, n)
     odds = np.sqrt(toxic) * np.log((toxic + 0.1) / ((label == 1).sum() + 1) * ((label == 0).sum() + 1) / (clean + 0.1))
@@ -369,7 +374,8 @@ def fit(texts: pa.Array, label: np.ndarray, share: float) -> Model:
         v = np.zeros(TRIPLES)
         np.add.at(v, at[1], at[2] * beta[at[0]])
         machine = Machine(v.astype(np.float32), float(w[-1]))
-        value = machine.decide(bags.data, bags.start, bags.end)
+        value = np.concatenate([machine.decide(bags.data, bags.start[a:a + 20_000], bags.end[a:a + 20_000])
+                                for a in range(0, n, 20_000)])
     f = gathered(value, bags.unit, bags.doc, bags.documents)
     weight = np.where(label == 1, share / (label == 1).mean(), (1 - share) / (label == 0).mean())
     return Model(machine, logistic(shaped(f), label, weight))
