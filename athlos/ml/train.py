@@ -21,8 +21,9 @@ from ..operators import clean, labels, metrics, split
 from ..session import ensure_checkpoint_dir
 from ..spec import CV_FOLDS, IMPORTANCE_TOP_N, SEARCH_DRAWS, SEED, TEST_SHARE, SessionSpec
 from .balance import balance_rows
+from .boosting import first_largest
 from .features import FeatureLayout, check_features, engineer, feature_names, fit_feature_stages
-from .models import MODEL_ORDER, MODEL_TITLES, candidate, draw, resolve
+from .models import MODEL_ORDER, MODEL_TITLES, candidate, draw, nested, resolve
 
 
 @dataclass
@@ -61,21 +62,35 @@ def search(estimator, settings: list[dict], train: DataFrame, folds: int, balanc
     """Best setting by mean fold score, the first of equals: (setting, scores per setting).
 
     Each fold is balanced once, cached, fitted with every setting (``parallelism`` fits at a time) and released.
+    Boosting settings that differ in the tree count only share a fit: each is scored on the prefix of its rounds.
     A fit that fails scores 0 in its fold.
     """
     scores = [0.0] * len(settings)
+    groups = nested(estimator, settings)
+    logging.getLogger("athlos").info("%d fits for %d settings in %d folds", len(groups) * folds, len(settings), folds)
     for fold in range(folds):
         rows = balance(train.where(F.col("fold") != fold)).persist()
         held = train.where(F.col("fold") == fold).persist()
         try:
             n = rows.count()
 
-            def score(setting, rows=rows, held=held, n=n):
+            def score(group, rows=rows, held=held, n=n):
+                setting, members = group
                 model = _try_fit(estimator, rows, setting, n)
-                return evaluator.evaluate(model.transform(held)) if model is not None else 0.0
+                if model is None:
+                    return [0.0] * len(members)
+                if members[0][1] is None:
+                    return [evaluator.evaluate(model.transform(held))]
+                judged = model.stages_of(held, [m[1] for m in members]).persist()
+                try:
+                    return [evaluator.evaluate(judged.withColumn("prediction", first_largest(F.col("stages")[k])))
+                            for k in range(len(members))]
+                finally:
+                    judged.unpersist()
             with ThreadPoolExecutor(max(1, parallelism)) as pool:
-                for i, v in enumerate(pool.map(score, settings)):
-                    scores[i] += v / folds
+                for (_, members), values in zip(groups, pool.map(score, groups)):
+                    for (i, _), v in zip(members, values):
+                        scores[i] += v / folds
         finally:
             rows.unpersist()
             held.unpersist()
@@ -121,7 +136,7 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
     whole = balanced(train_f).persist()
     n_whole = whole.count()
     for i, name in enumerate(models):
-        est, grid = candidate(name, seed, tree_scale)
+        est, grid = candidate(name, seed, tree_scale, id_col)
         best_setting, _ = search(est, draw(grid, draws, seed), train_f, folds, balanced, evaluator, parallelism)
         best = _try_fit(est, whole, best_setting, n_whole)
         m = _test_metrics(best.transform(test_f)) if best is not None else dict.fromkeys(
@@ -160,10 +175,6 @@ def feature_importance(bundle: TrainedBundle, top_n: int = IMPORTANCE_TOP_N) ->
         long = bundle.comparison.sparkSession.createDataFrame(
             [(k, j, float(v)) for k, row in enumerate(mat) for j, v in enumerate(row)], "k long, feature long, coefficient double")
         weights, title = [r["weight"] for r in mean_abs(long).orderBy("feature").collect()], "Abs Coef (avg)"
-    elif hasattr(clf, "models"):
-        per = [m.featureImportances.toArray() for m in clf.models]
-        weights = [float(sum(p[j] for p in per) / len(per)) for j in range(len(per[0]))]
-        title = "Importance"
     else:
         raise ValueError("model has no importances")
     names = bundle.names

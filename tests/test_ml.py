@@ -194,7 +194,7 @@ def test_duplicate_balance(spark):
     assert sizes == {"a": 5, "b": 5}
 
 
-def test_boosting_one_vs_rest_on_few_classes(spark):
+def test_boosting_in_train_compare_on_few_classes(spark):
     from athlos.ml.train import feature_importance, train_compare
     from athlos.sources.tables import sessions
     from athlos.spec import SessionSpec
