@@ -5,6 +5,9 @@ on (group, order key) and sorted within partitions: one shuffle of the rows, wit
 group sizes or key values. A row's place in its partition comes from ``monotonically_increasing_id``; a table with one
 row per (partition, group) says where each group begins in each partition and how many of its rows came before.
 The partitioned rows are checkpointed, so both passes see the same partitions even after a lost executor.
+
+A count of the groups comes first: where none has over ``GROUP_ROWS`` rows, a window per group is as safe and needs one
+shuffle only. Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -16,12 +19,17 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+GROUP_ROWS = 1_000_000      # rows of a group that one task may sort
+
 
 def exact_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Add ``out`` = 1-based row number of each row within ``partition`` by ``order`` (NULL groups are ranked too).
 
     Runs the shuffle when called. ``order`` should end in a unique key, or rows that tie are numbered arbitrarily.
     """
+    largest = df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 0
+    if largest <= GROUP_ROWS:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long"))
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c).asc_nulls_first() for c in partition]
     placed = (df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)

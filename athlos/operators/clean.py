@@ -59,7 +59,7 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR
 
 def iqr_clip(df: DataFrame, columns: Sequence[str] | None = None, factor: float = IQR_FACTOR,
              method: str = "exact") -> DataFrame:
-    """FE1: bound each column to [Q1 - f*IQR, Q3 + f*IQR]; NULL stays NULL. One statistics job."""
+    """FE1: bound each column to [Q1 - f*IQR, Q3 + f*IQR]; NULL stays NULL."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     bounds = iqr_bounds(df, columns, factor, method)
     return df.withColumns({c: clip_keep_null(F.col(c), lo, hi) for c, (lo, hi) in bounds.items()})
@@ -81,6 +81,33 @@ def median_impute(df: DataFrame, columns: Sequence[str] | None = None, method: s
                            if m is not None})
 
 
+def clip_filter_impute(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR,
+                       max_share: float = MISSING_SHARE_MAX, method: str = "exact") -> DataFrame:
+    """FE1 → PF4 → FE2 with all their statistics from one selection: quartiles of every row, medians of the kept rows.
+
+    Clipping is monotone and keeps NULLs, so the rows to keep are known before it and the order statistics of the
+    clipped kept rows are the clipped order statistics of the kept rows.
+    """
+    columns = list(columns)
+    if method != "exact":
+        return median_impute(sparse_row_filter(iqr_clip(df, columns, factor, method), max_share), columns, method)
+    kept = null_count(df.columns) <= F.lit(max_share * len(df.columns))
+    found = stats.order_statistics(df, {**{f"all {c}": (F.col(c), (0.25, 0.75)) for c in columns},
+                                        **{f"kept {c}": (F.when(kept, F.col(c)), (0.5,)) for c in columns}})
+    out = {}
+    for c in columns:
+        q1, q3 = (stats.interpolated(*x) for x in found[f"all {c}"])
+        lo, hi = (None, None) if q1 is None else (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
+        a, b, share = found[f"kept {c}"][0]
+        clipped = clip_keep_null(F.col(c), lo, hi)
+        if a is None or lo != lo or hi != hi:          # no values, or bounds from infinite quartiles
+            out[c] = clipped
+        else:
+            a, b = (max(min(v, hi), lo) for v in (a, b))
+            out[c] = F.coalesce(clipped, F.lit(stats.interpolated(a, b, share)).cast("double"))
+    return df.filter(kept).withColumns(out)
+
+
 def mode_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """FE3: NULL → most frequent value (smallest on a tie)."""
     mo = stats.modes(df, columns)
@@ -134,9 +161,9 @@ def clean_sessions(df: DataFrame, spec: SessionSpec = SessionSpec(), method: str
     """FE23: dedupe → coerce → IQR clip → sparse-row filter + median impute → z-score → encode.
 
     Order matters: quartiles see every deduplicated row, medians the clipped kept rows, mean/std the imputed
-    ones. The statistics jobs read the deduplicated table several times, so it is materialised once:
-    ``"checkpoint"`` (written to the shared ``spark.checkpoint.dir``: survives lost executors, and Spark's cleaner
-    releases it), ``"persist"`` (MEMORY_AND_DISK; the caller unpersists), or ``None``.
+    ones: two scans for the order statistics (``clip_filter_impute``), one for the moments. The deduplicated table is
+    materialised once: ``"checkpoint"`` (written to the shared ``spark.checkpoint.dir``: survives lost executors; its files
+    go with the session's references where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on), ``"persist"`` (MEMORY_AND_DISK; the caller unpersists), or ``None``.
     """
     from .encode import one_hot, ordinal_encode
 
@@ -148,8 +175,7 @@ def clean_sessions(df: DataFrame, spec: SessionSpec = SessionSpec(), method: str
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         base = base.checkpoint(eager=True)
-    clipped = iqr_clip(base, nums, method=method)
-    kept = median_impute(sparse_row_filter(clipped), nums, method=method)
+    kept = clip_filter_impute(base, nums, method=method)
     out = zscore(kept, nums) if standardise else kept
     if encode:
         out = ordinal_encode(one_hot(out, spec.one_hot_vocab), spec.ordinal_maps)

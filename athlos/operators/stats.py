@@ -7,8 +7,10 @@ size is (columns x statistics), independent of the data size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,102 +55,165 @@ def medians(df: DataFrame, columns: Sequence[str], method: str = "exact") -> dic
     return {c: q[0] for c, q in quartiles(df, columns, method, (0.5,)).items()}
 
 
+# Rank error of the sketch that brackets a quantile is 1/BAND_ACCURACY of the rows, so bounds two errors away surely
+# enclose it. The values between the bounds (a value frequent enough to fill them is itself a bound) are listed exactly
+# while at most BAND_VALUES are expected; beyond that another sketch narrows the band first.
+BAND_ACCURACY = 10_000
+BAND_VALUES = 1_000_000
+
+
 def exact_select(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, tuple]:
-    """Exact quantiles (linear interpolation between order statistics) by verified selection.
-
-    Each target order statistic keeps an open band (lo, hi) that holds it, with the number of values up to
-    ``lo`` and in the band. One job draws a candidate per target from a bounded sketch of the band; the next
-    counts the values below and up to each candidate. A candidate whose counts enclose the rank is the answer;
-    otherwise it becomes the band's new bound. Candidates are values of the data, so every round shrinks the
-    band, by about the sketch's accuracy (a band of up to ``APPROX_ACCURACY`` values takes one round), also with
-    infinities and extreme values. Only counts and candidates reach the driver.
-    """
-    columns = list(columns)
-    base = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    targets: dict[tuple, dict] = {}
-    plan: dict[str, list] = {c: [] for c in columns}
+    """Exact quantiles (linear interpolation between order statistics); see ``order_statistics``."""
+    found = order_statistics(df, {c: (F.col(c), probs) for c in columns})
+    return {c: tuple(interpolated(*x) for x in found[c]) for c in columns}
 
-    def rank_share(k: int, n: int) -> float:
-        return min(1.0, (k + 0.5) / n)
 
-    # first round: sizes and a candidate per probability and neighbour rank come from one sketch over all values
-    guess = collect_row(base, {**{f"{c}__n": F.count(F.col(c)) for c in columns},
-                               **{f"{c}__q": F.percentile_approx(F.col(c), F.array(*[F.lit(float(p)) for p in probs]),
-                                                                 APPROX_ACCURACY) for c in columns}})
-    for c in columns:
-        n = guess[f"{c}__n"]
-        for i, p in enumerate(probs):
+def interpolated(a, b, share):
+    if a is None:
+        return None
+    return a if a == b or not share else (1 - share) * a + share * b
+
+
+def order_statistics(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]]) -> dict[str, list[tuple]]:
+    """{name: [(a, b, share) per probability]}: the two order statistics around each quantile of a column expression
+    and the weight of the upper one; (None, None, 0.0) without values. NaN counts as missing.
+
+    Two scans, for all expressions at once: a bounded sketch brackets every rank between a lower and an upper value, with
+    a middle guess; the second scan counts the values below, on and between these and lists those between. Where a rank
+    falls outside its bracket, or a bracket holds too many values to list, the counts say which open interval holds it and
+    the next sketch brackets it there, so every further pair of scans shrinks it by the sketch's accuracy.
+    """
+    base = df.select(*[nan_to_null(e.cast("double")).alias(f"_{i}") for i, (e, _) in enumerate(wanted.values())])
+    names = list(wanted)
+
+    def around(share: float) -> list[Column]:
+        step = 2.0 / BAND_ACCURACY
+        return [F.lit(min(1.0, max(0.0, share + d))) for d in (-step, 0.0, step)]
+
+    first = collect_row(base, {**{f"n{i}": F.count(f"_{i}") for i in range(len(names))}, **{
+        f"q{i}": F.percentile_approx(f"_{i}", F.array(*[x for p in wanted[c][1] for x in around(float(p))]), BAND_ACCURACY)
+        for i, c in enumerate(names)}})
+    values: dict[tuple, float] = {}                    # (column, rank) -> order statistic
+    open_: dict[tuple, dict] = {}                      # (column, rank) -> interval and bracket
+    out: dict[str, list] = {}
+    for i, c in enumerate(names):
+        n = first[f"n{i}"]
+        for j, p in enumerate(wanted[c][1]):
             if not n:
                 continue
             h = float(p) * (n - 1)
-            k = int(h // 1)
-            plan[c].append((k, min(k + 1, n - 1), h - k))
-            for r in plan[c][-1][:2]:
-                targets.setdefault((c, r), {"lo": None, "hi": None, "below": 0, "n": n, "x": guess[f"{c}__q"][i]})
-    open_ = dict(targets)
+            for k in {int(h), min(int(h) + 1, n - 1)}:
+                open_.setdefault((i, k), {"below": 0, "n": n, "lo": None, "hi": None, "bracket": tuple(first[f"q{i}"][3 * j:3 * j + 3])})
     while open_:
-        exprs = {}
-        for i, ((c, _), t) in enumerate(open_.items()):
-            x = F.lit(t["x"]).cast("double")
-            exprs[f"{i}__lt"] = F.count(F.when(F.col(c) < x, 1))
-            exprs[f"{i}__le"] = F.count(F.when(F.col(c) <= x, 1))
-            # the next values on either side: neighbouring ranks are the common case
-            exprs[f"{i}__next"] = F.min(F.when(F.col(c) > x, F.col(c)))
-            exprs[f"{i}__prev"] = F.max(F.when(F.col(c) < x, F.col(c)))
-        row = collect_row(base, exprs)
+        specs = list(dict.fromkeys((i, *t["bracket"], 6 * t["n"] / BAND_ACCURACY <= BAND_VALUES) for (i, _), t in open_.items()))
+        seen = _bracketed(base, specs)
         again = {}
-        for i, (key, t) in enumerate(open_.items()):
-            k, lt, le = key[1], row[f"{i}__lt"], row[f"{i}__le"]
-            if lt <= k < le:
-                t["value"] = t["x"]
-            elif k == le:
-                t["value"] = row[f"{i}__next"]
-            elif k == lt - 1:
-                t["value"] = row[f"{i}__prev"]
+        for (i, k), t in open_.items():
+            spec = (i, *t["bracket"], 6 * t["n"] / BAND_ACCURACY <= BAND_VALUES)
+            value, interval = _located(k, spec, seen[specs.index(spec)])
+            if interval is not None and interval["n"] is None:
+                interval["n"] = first[f"n{i}"] - interval["below"]
+            if interval is None:
+                values[i, k] = value
             else:
-                end = t["below"] + t["n"]
-                if k < lt:
-                    t["hi"], t["n"] = t["x"], lt - t["below"]
-                else:
-                    t["lo"], t["below"], t["n"] = t["x"], le, end - le
-                again[key] = t
+                again[i, k] = interval
         open_ = again
-        if not open_:
-            break
-        exprs = {}
-        for i, ((c, k), t) in enumerate(open_.items()):
-            inside = F.lit(True)
-            if t["lo"] is not None:
-                inside &= F.col(c) > F.lit(t["lo"]).cast("double")
-            if t["hi"] is not None:
-                inside &= F.col(c) < F.lit(t["hi"]).cast("double")
-            exprs[str(i)] = F.percentile_approx(F.when(inside, F.col(c)), F.lit(rank_share(k - t["below"], t["n"])),
-                                                APPROX_ACCURACY)
-        row = collect_row(base, exprs)
-        for i, t in enumerate(open_.values()):
-            t["x"] = row[str(i)]
-    out = {}
-    for c in columns:
-        res = []
-        for k_lo, k_hi, frac in plan[c]:
-            a, b = targets[(c, k_lo)]["value"], targets[(c, k_hi)]["value"]
-            res.append(a if a == b or not frac else (1 - frac) * a + frac * b)
-        out[c] = tuple(res) if res else tuple(None for _ in probs)
+        if open_:
+            row = collect_row(base, {str(x): F.percentile_approx(
+                F.when(_inside(F.col(f"_{i}"), t["lo"], t["hi"]), F.col(f"_{i}")),
+                F.array(*around(min(1.0, (k - t["below"] + 0.5) / t["n"]))), BAND_ACCURACY) for x, ((i, k), t) in enumerate(open_.items())})
+            for x, t in enumerate(open_.values()):
+                t["bracket"] = tuple(row[str(x)])
+    for i, c in enumerate(names):
+        n, res = first[f"n{i}"], []
+        for p in wanted[c][1]:
+            if not n:
+                res.append((None, None, 0.0))
+                continue
+            h = float(p) * (n - 1)
+            res.append((values[i, int(h)], values[i, min(int(h) + 1, n - 1)], h - int(h)))
+        out[c] = res
     return out
 
 
+def _inside(x: Column, lo, hi) -> Column:
+    cond = x.isNotNull()
+    if lo is not None:
+        cond &= x > F.lit(lo).cast("double")
+    return cond & (x < F.lit(hi).cast("double")) if hi is not None else cond
+
+
+def _bracketed(base: DataFrame, specs: Sequence[tuple]) -> list[dict]:
+    """One scan: for each (column, lo, mid, hi, listed) the counts below, on and between, the nearest values outside, and
+    the values between where ``listed``. Tasks count in numpy, a grouped sum puts the counts together."""
+    def run(batches):
+        count = np.zeros((len(specs), 6), np.int64)    # below lo, on lo, between, on mid, between, on hi
+        out = np.tile([-np.inf, np.inf], (len(specs), 1))
+        any_out = np.zeros((len(specs), 2), bool)
+        low, high = [[] for _ in specs], [[] for _ in specs]
+        for b in batches:
+            for s, (i, lo, mid, hi, listed) in enumerate(specs):
+                x = b.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+                under, over = x < lo, x > hi
+                a, z = x[(x > lo) & (x < mid)], x[(x > mid) & (x < hi)]
+                count[s] += [under.sum(), (x == lo).sum(), len(a), (x == mid).sum() if mid != lo else 0, len(z),
+                             (x == hi).sum() if hi != mid else 0]
+                if under.any():
+                    out[s, 0], any_out[s, 0] = max(out[s, 0], x[under].max()), True
+                if over.any():
+                    out[s, 1], any_out[s, 1] = min(out[s, 1], x[over].min()), True
+                if listed:
+                    low[s].append(a)
+                    high[s].append(z)
+        listing = lambda v: np.concatenate(v) if v else np.zeros(0)
+        for s in range(len(specs)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int32()), pa.array([count[s]], pa.list_(pa.int64())),
+                 pa.array([out[s, 0] if any_out[s, 0] else None], pa.float64()), pa.array([out[s, 1] if any_out[s, 1] else None], pa.float64()),
+                 pa.array([listing(low[s])], pa.list_(pa.float64())), pa.array([listing(high[s])], pa.list_(pa.float64()))],
+                names=["s", "n", "prev", "next", "low", "high"])
+
+    parts = base.mapInArrow(run, "s int, n array<long>, prev double, next double, low array<double>, high array<double>")
+    rows = parts.groupBy("s").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(6)], F.max("prev").alias("prev"),
+                                  F.min("next").alias("next"), F.flatten(F.collect_list("low")).alias("low"),
+                                  F.flatten(F.collect_list("high")).alias("high")).collect()      # one row per bracket
+    return [r.asDict() for r in sorted(rows, key=lambda r: r["s"])]
+
+
+def _located(k: int, spec: tuple, r: dict):
+    """(value, None) of the rank ``k`` (from 0), or (None, interval) where the scan does not settle it."""
+    _, lo, mid, hi, listed = spec
+    under, *parts = (r[f"n{j}"] for j in range(6))
+    if k < under:
+        return (r["prev"], None) if k == under - 1 else (None, {"below": 0, "n": under, "lo": None, "hi": lo})
+    at = under
+    for j, (part, edge) in enumerate(zip(parts, (lo, "low", mid, "high", hi))):
+        if k < at + part:
+            if edge not in ("low", "high"):
+                return edge, None
+            if listed:
+                return sorted(r[edge])[k - at], None
+            ends = (lo, mid) if edge == "low" else (mid, hi)
+            return None, {"below": at, "n": part, "lo": ends[0], "hi": ends[1]}
+        at += part
+    if k == at:
+        return r["next"], None
+    return None, {"below": at, "n": None, "lo": hi, "hi": None}
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Most frequent non-NULL value per column; the smallest value wins a tie. Grouped counts per value, so no
-    task holds all values of a column; one row per column reaches the driver."""
-    found = None
-    for i, c in enumerate(columns):
-        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v"))
-               .select(F.lit(i).alias("i"), *[(F.col("v") if k == i else F.lit(None).cast(df.schema[d].dataType)).alias(f"v{k}")
-                                              for k, d in enumerate(columns)]))
-        found = top if found is None else found.unionByName(top)
-    rows = {r["i"]: r for r in found.collect()} if found is not None else {}
-    return {c: rows[i][f"v{i}"] if i in rows else None for i, c in enumerate(columns)}
+    """Most frequent non-NULL value per column; the smallest value wins a tie. One scan and one grouped count for all
+    columns of a type, so no task holds all values of a column; one row per column reaches the driver."""
+    by_type: dict = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType, []).append(c)
+    found = {}
+    for cols in by_type.values():
+        counted = (df.select(F.posexplode(F.array(*[F.col(c) for c in cols])).alias("i", "v")).where(F.col("v").isNotNull())
+                   .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+        top = counted.groupBy("i").agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v"))
+        found.update((cols[r["i"]], r["v"]) for r in top.collect())
+    return {c: found.get(c) for c in columns}
 
 
 def min_max(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:

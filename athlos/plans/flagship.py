@@ -14,8 +14,7 @@ from .catalog import out
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label: class size, first recommendation text, and the mean clipped heart rate of the class."""
     s = sessions(spark, sf_dir)
-    s = clean.iqr_clip(s, SENSOR_COLUMNS)
-    s = clean.median_impute(clean.sparse_row_filter(s), SENSOR_COLUMNS)
+    s = clean.clip_filter_impute(s, SENSOR_COLUMNS)
     s = clean.mode_impute(s, ["risk_level", "hr_zone"])
     s = labels.composite_label(encode.hr_critical_flag(s), TRAINING_LABEL_PARTS)
     text = F.col("recommendation_entrainement")

@@ -51,7 +51,10 @@ def test_stratified_split_invariants(spark):
         sorted(r.session_id for r in sp.where("is_test").collect())
 
 
-def test_exact_row_number_equals_window(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_exact_row_number_equals_window(spark, monkeypatch, most):
+    from athlos.functions import ranking
+    monkeypatch.setattr(ranking, "GROUP_ROWS", most)
     from pyspark.sql import Window
     from athlos.functions.ranking import exact_row_number
     df = spark.range(0, 3000).withColumn("g", (F.col("id") % 3 == 0).cast("int")).withColumn(
@@ -68,7 +71,10 @@ def test_class_weights(spark):
     assert w[1] == pytest.approx(4 / (2 * 3)) and w[4] == pytest.approx(4 / 2)
 
 
-def test_exact_row_number_ranks_null_group(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_exact_row_number_ranks_null_group(spark, monkeypatch, most):
+    from athlos.functions import ranking
+    monkeypatch.setattr(ranking, "GROUP_ROWS", most)
     from athlos.functions.ranking import exact_row_number
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "a")], "id long, g string")
     out = exact_row_number(df, ["g"], [F.col("id")], "r")
