@@ -7,6 +7,7 @@ Scoring is one lazy plan per batch: derive → fitted feature stages → classif
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
@@ -97,28 +98,62 @@ def evaluate_batch(bundle: TrainedBundle, df: DataFrame) -> DataFrame:
     return metrics.class_report(t.select("actual", F.col("predicted_label").alias("predicted")), labels=known)
 
 
-def save_bundle(bundle: TrainedBundle, path: str) -> None:
-    """IO9: pipeline by MLlib persistence; labels, layout and spec as JSON; lookup as Parquet."""
-    spark = bundle.comparison.sparkSession
-    bundle.model.write().overwrite().save(f"{path}/model")
-    bundle.lookup.write.mode("overwrite").parquet(f"{path}/lookup")
-    bundle.comparison.write.mode("overwrite").parquet(f"{path}/comparison")
-    meta = {"labels": bundle.labels, "numeric": bundle.layout.numeric, "categorical": bundle.layout.categorical,
-            "best": bundle.best, "names": bundle.names,
-            "spec": asdict(bundle.spec)}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(
-        f"{path}/meta")
+PARTS = ("model", "lookup", "comparison", "meta")
+MANIFEST = "MANIFEST-"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
-def load_bundle(spark: SparkSession, path: str) -> TrainedBundle:
-    """IO9 + IO10: load a saved bundle; a missing part is reported by name before anything is read."""
-    missing = [part for part in ("model", "lookup", "comparison", "meta") if not _exists(spark, f"{path}/{part}")]
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith(MANIFEST))
+
+
+def save_bundle(bundle: TrainedBundle, path: str) -> str:
+    """IO9: pipeline by MLlib persistence; labels, layout and spec as JSON; lookup as Parquet. Returns the version.
+
+    All parts go to a new folder below ``path``/versions. Renaming a manifest that names it to the next number is the
+    commit: a reader sees the last whole bundle or this one, never a part, and versions already open stay readable.
+    """
+    spark = bundle.comparison.sparkSession
+    version = uuid.uuid4().hex
+    to = f"{path}/versions/{version}"
+    bundle.model.write().save(f"{to}/model")
+    bundle.lookup.write.parquet(f"{to}/lookup")
+    bundle.comparison.write.parquet(f"{to}/comparison")
+    meta = {"labels": bundle.labels, "numeric": bundle.layout.numeric, "categorical": bundle.layout.categorical,
+            "best": bundle.best, "names": bundle.names,
+            "spec": asdict(bundle.spec)}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.json(f"{to}/meta")
+    draft, fs = _fs(spark, f"{path}/_manifest-{version}")
+    fs.create(draft, True).close()
+    while True:
+        done = _manifests(spark, path)
+        number = int(done[-1][len(MANIFEST):].split("-")[0]) + 1 if done else 0
+        target, _ = _fs(spark, f"{path}/{MANIFEST}{number:012d}-{version}")
+        if fs.rename(draft, target):
+            return version
+
+
+def load_bundle(spark: SparkSession, path: str, version: str | None = None) -> TrainedBundle:
+    """IO9 + IO10: load the last committed version of a bundle (or a given one); what is missing is reported by name."""
+    if version is None:
+        done = _manifests(spark, path)
+        if not done:
+            raise ValueError(f"model bundle at {path} lacks: {', '.join(PARTS)}, manifest (train and save it first)")
+        version = done[-1].rsplit("-", 1)[1]
+    path = f"{path}/versions/{version}"
+    missing = [part for part in PARTS if not _exists(spark, f"{path}/{part}")]
     if missing:
         raise ValueError(f"model bundle at {path} lacks: {', '.join(missing)} (train and save it first)")
     meta = json.loads(spark.read.json(f"{path}/meta").collect()[0]["meta"])

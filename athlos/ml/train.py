@@ -115,7 +115,7 @@ def train_compare(df: DataFrame, spec: SessionSpec = SessionSpec(), id_col: str
     label_model = StringIndexer(inputCol=spec.label_column, outputCol="label",
                                 stringOrderType="alphabetAsc").fit(d)
     d = label_model.transform(d)
-    sp = split.stratified_split(d, spec.label_column, id_col, test_share, seed, folds)
+    sp = split.cutoff_split(d, spec.label_column, id_col, test_share, seed, folds)
     sp = split.class_weights(sp.where(~F.col("is_test")), spec.label_column).unionByName(
         sp.where(F.col("is_test")).withColumn("weight", F.lit(1.0))).checkpoint()
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
