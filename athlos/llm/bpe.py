@@ -20,8 +20,10 @@ table gives an empty result; columns other than ``doc_id`` and ``text`` are igno
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common, textkit
 
-CACHE_PIECES = 100_000      # cached pieces per Python worker; the cache restarts when it is full
+CACHE_PIECES = 200_000      # cached pieces per generation in a Python worker
 CACHE_CHARS = 48            # longer pieces are not kept
 _CUT = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
@@ -84,42 +86,51 @@ def tokenizer_json(tokens: list[bytes]) -> str:
                   "vocab": {s: i for i, s in enumerate(shown)}, "merges": merges}})
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Encoder:
-    """Encodes texts to int32 ids in one Python worker."""
+    """Encodes texts in one Python worker. ``made`` turns the ids of a piece into the value that is kept for it."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, made=id_bytes):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cache: dict[str, bytes] = {}
+        self.made, self.young, self.old = made, {}, {}
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text; all but the first stand for a space and themselves."""
         return _CUT.split(text) if _RUN.search(text) else text.split(" ")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def values(self, texts: list[str | None]):
+        """(pieces of each text, values of first pieces, values of the other pieces).
+
+        The cache has two generations of up to CACHE_PIECES pieces of up to CACHE_CHARS characters. A piece that is met
+        again moves to the young one; when that is full it becomes the old one, and what was left in the old one goes.
+        """
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         cut = [self._pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        cache, new, long = self.cache, set(), {}
+        new, long = set(), {}
         for p in cut:
             new.update(p[1:])
-        new.difference_update(cache)
-        new = list(new)
+        new.difference_update(young)
+        for x in new.intersection(old):
+            young[x] = old.pop(x)
+        new = list(new.difference(young))
         heads = list({p[0] for p in cut if p})
         got = self.tokenizer.encode_batch_fast([" " + x for x in new] + heads, add_special_tokens=False)
-        ids = [np.array(e.ids, np.int32).tobytes() for e in got]
-        for x, i in zip(new, ids):
-            (cache if len(x) <= CACHE_CHARS else long)[x] = i
-        first = dict(zip(heads, ids[len(new):]))
-        if long:
-            cache = _Both(cache, long)
-        out = []
-        for p in cut:
-            body = b"".join(map(cache.__getitem__, p[1:]))
-            out.append(np.frombuffer(first[p[0]] + body if p else b"", np.int32))
-        return out
+        made = [self.made(e.ids) for e in got]
+        for x, v in zip(new, made):
+            (young if len(x) <= CACHE_CHARS else long)[x] = v
+        return cut, dict(zip(heads, made[len(new):])), _Both(young, long) if long else young
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut, first, rest = self.values(texts)
+        return [np.frombuffer(first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) if p else b"", np.int32) for p in cut]
 
 
 class _Both:
@@ -131,6 +142,18 @@ class _Both:
         return self.b[key] if found is None else found
 
 
+def parts_of(text: str, limit: int = textkit.CHUNK_BYTES):
+    """A text in parts of about ``limit`` characters, cut before spaces that follow other characters."""
+    a = 0
+    while len(text) - a > limit:
+        cut = _CUT.search(text, a + limit)
+        if not cut:
+            break
+        yield text[a:cut.start()]
+        a = cut.start()
+    yield text[a:]
+
+
 def as_texts(col: pa.Array) -> list[str | None]:
     """Python strings of a string column; bytes that are not UTF-8 become the replacement character."""
     try:
@@ -154,14 +177,14 @@ def character_offsets(text: str, ids: np.ndarray, size: np.ndarray) -> tuple[np.
     return (upto[start + 1] - 1).astype(np.int32), upto[end].astype(np.int32)
 
 
-_MEMO: dict[str, Encoder] = {}
+_MEMO: dict = {}
 
 
-def worker_encoder(spec: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    key = str(hash(spec))
+def worker_encoder(spec: str, kind: str = "ids", made=id_bytes) -> Encoder:
+    """One encoder per Python worker, vocabulary and kind of value."""
+    key = (hash(spec), kind)
     if key not in _MEMO:
-        _MEMO[key] = Encoder(spec)
+        _MEMO[key] = Encoder(spec, made)
     return _MEMO[key]
 
 
@@ -221,11 +244,46 @@ def default_vocabulary() -> str:
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    One step per batch: every distinct piece is encoded, its ids written as text and looked up in the byte table once;
+    a document's digests run over the texts and bytes of its pieces. Ids never leave the worker, and a text of any
+    length is taken in parts.
+    """
+    tokens = load_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json(tokens), tokens))
+
+    def run(batches):
+        spec, table = shared.value
+        shown = [f" {i}".encode() for i in range(len(table))]
+        enc = worker_encoder(spec, "digest", lambda ids: (b"".join([shown[i] for i in ids]), b"".join([table[i] for i in ids])))
+        for b in batches:
+            for first, _, off in textkit.chunks(b.column("text")):
+                part = b.slice(first, len(off) - 1)
+                counts, hashes, bytes_ = [], [], []
+                texts = as_texts(part.column("text"))
+                small = [t if t and len(t) <= textkit.CHUNK_BYTES else None for t in texts]
+                cut, heads, rest = enc.values(small)
+                for t, p in zip(texts, cut):
+                    ids, decoded, n, started = hashlib.sha256(), hashlib.sha256(), 0, False
+                    runs = [(p, heads, rest)] if p or not t else ((q[0], h, r) for q, h, r in (enc.values([x]) for x in parts_of(t)))
+                    for pieces, h, r in runs:
+                        if not pieces:
+                            continue
+                        text, raw = zip(h[pieces[0]], *map(r.__getitem__, pieces[1:]))
+                        text = b"".join(text)
+                        n += text.count(b" ")
+                        ids.update(text if started or not text else text[1:])
+                        started = started or bool(text)
+                        decoded.update(b"".join(raw))
+                    counts.append(n)
+                    hashes.append(ids.hexdigest())
+                    bytes_.append(decoded.hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(bytes_)],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

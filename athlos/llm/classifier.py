@@ -4,7 +4,7 @@ A document is the average of learned vectors of its features: each word occurren
 the hashed character n-grams (3 to 5 characters, with word boundaries) of the word, and a word that repeats the one
 before it also for a pseudo-word. A softmax over the average gives
 the class. Training runs on a bounded sample of labelled documents (``SAMPLE_ROWS`` rows with the smallest seeded
-hashes, each reduced to its distinct words and counts on the executors). Scoring folds the vectors and the softmax
+hashes, of texts up to ``SAMPLE_BYTES``, each reduced to its distinct words and counts on the executors). Scoring folds the vectors and the softmax
 weights of the two classes into one number per hash bucket, so each task loads one small table and scores whole texts.
 
 Defined cases: null or empty text scores the bias alone; a null ``doc_id`` is not held out and has no label; documents
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common, textkit
 
 SAMPLE_ROWS = 6000          # labelled documents the model is fitted on, at most
-SAMPLE_WORDS = 2000         # distinct words that one sampled document sends to the fit, most frequent first
+SAMPLE_BYTES = 1 << 17      # rows with longer texts are not in the sample; the rows in it send all their words
 BUCKETS_LOG2 = 17
 DIM = 16
 GRAMS = (3, 4, 5)
@@ -100,6 +100,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
         F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     lab = lab.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "label"), "doc_id", "label").limit(rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = text.where(F.col("text").isNull() | (F.octet_length("text") <= SAMPLE_BYTES))
 
     def run(batches):
         for b in batches:
@@ -117,8 +118,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
 def _bag_of(col: pa.Array) -> tuple[list[bytes], list[int]]:
     for _, _, words, which, _ in bags(col):
         count = np.bincount(which, minlength=len(words))
-        top = np.argsort(-count, kind="stable")[:SAMPLE_WORDS]
-        top = top[count[top] > 0]
+        top = np.flatnonzero(count)
         return [words[i] for i in top], count[top].tolist()
     return [], []
 
