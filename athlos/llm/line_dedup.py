@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines (split at \\n) of at least ``MIN_BYTES`` UTF-8 bytes are compared across the corpus. A line goes if an earlier
-one, by (doc_id, text hash, line number), is within ``EDITS`` byte edits of it. With ``exact_from`` below ``MIN_BYTES``
-exact copies of shorter non-blank lines of at least that many bytes go too; all other shorter lines stay.
+Non-blank lines (split at \\n) are compared across the corpus. A line goes if an earlier one, by (doc_id, text hash, line
+number), equals it, or if both have at least ``MIN_BYTES`` UTF-8 bytes and are within ``EDITS`` byte edits. Blank lines
+stay.
 
 1. Equal lines meet by a 128-bit hash: a grouped minimum gives each distinct line its first place.
 2. A line of length l is cut into ``EDITS`` + 1 segments. Two lines within that distance share a segment unchanged, so
@@ -10,8 +10,12 @@ exact copies of shorter non-blank lines of at least that many bytes go too; all
    few substrings that can match there (the shift is bounded from both ends). Keys are 64-bit hashes; a line's id holds
    the parity of its hashed byte pairs, and an edit changes at most four parities, so ids rule out most chance
    meetings inside the join.
-3. Round one compares each probe with one line per key only. Round two compares the other lines of a key, but only
-   pairs with a line that has no earlier neighbour yet, so many variants of one line do not make all their pairs.
+3. Round one compares each probe with one line per key. Round two compares the other lines of a key, but only pairs with
+   a line that has no earlier neighbour yet. A key of more than ``CROWD`` lines never pairs them up as they are: its
+   lines are first compared with the earliest of them; the rest are cut again, where they differ from that line:
+   ``EDITS`` + 1 segments with a third of all differences each, probed in the same way under the old key. Keys that are
+   still crowded are cut again as long as that makes them smaller. So many variants of one line meet only where the
+   parts that vary agree.
 4. Banded bit-parallel edit distance on the bytes confirms each pair. Different lines that share an id are told apart
    by the second hash; they are compared whatever their keys.
 5. Removed line numbers go back to their documents.
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from . import common, textkit
 
 EDITS = 2
-MIN_BYTES = 32
+MIN_BYTES = 32              # least length of a line that is compared by edits; equal lines of any length meet
+CROWD = 8                   # lines of a key that are paired up directly
+SHRINK = 0.7                # a key that is cut again must leave less than this share of its lines together
 PARITIES = 40               # low bits of a line id: parities of byte pairs; then 8 bits of length, 16 of a hash
 _ODD = 0xD6E8FEB86659FD93
 _POWER: dict[str, np.ndarray] = {}
@@ -181,10 +187,8 @@ def _text_key() -> Column:
 
 
 def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A second, independent 64-bit hash of the lines."""
-    raw = data.tobytes()
-    return np.array([int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little", signed=True)
-                     for s, e in zip(start.tolist(), end.tolist())], np.int64)
+    """A second 64-bit hash of the lines, of another family than the ids'."""
+    return textkit.mix(textkit.hash_spans(data, start, end) + np.uint64(_ODD)).view(np.int64)
 
 
 def _distinct(x: Lines, ids: np.ndarray) -> np.ndarray:
@@ -203,7 +207,7 @@ def _distinct(x: Lines, ids: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([order[~shared], many[new]]))
 
 
-def places(rows: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
+def places(rows: DataFrame, exact_from: int = 1) -> DataFrame:
     """(id, check, doc_id, text_key, line) of every eligible line."""
     def run(batches):
         for b in batches:
@@ -246,9 +250,9 @@ def _slot(ids: np.ndarray) -> np.ndarray:
     return ((ids >> np.uint64(48) << np.uint64(6)) | ids & np.uint64(63)).astype(np.int64)
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(ida, checka, idb, checkb) of the id pairs (ida, idb) whose lines are within ``EDITS`` edits."""
-    need = common.checkpointed(pairs.select(F.col("ida").alias("id")).union(pairs.select("idb")).distinct())
+def _bodies(need: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, check, body) of all lines whose id is in the one column of ``need`` (distinct)."""
+    need = common.checkpointed(need)
     slots = common.bitmap(need.select(F.expr("shiftleft(shiftrightunsigned(id, 48), 6) | (id & 63)").alias("s")))
 
     def run(batches):
@@ -267,7 +271,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     lines = (rows.select("text").mapInArrow(run, "id long, check long, body binary")
              .join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "check"]))
-    lines = common.checkpointed(lines)
+    return common.checkpointed(lines)
+
+
+def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(ida, checka, idb, checkb) of the id pairs (ida, idb) whose lines are within ``EDITS`` edits."""
     side = lambda x: lines.select(F.col("id").alias(f"id{x}"), F.col("check").alias(f"check{x}"),
                                   F.col("body").alias(f"body{x}"))
     near = F.arrow_udf(lambda a, b: pa.array([within(x, y, EDITS) for x, y in zip(a.to_pylist(), b.to_pylist())],
@@ -277,6 +285,93 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             .select("ida", "checka", "idb", "checkb"))
 
 
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("ida").alias("id")).union(pairs.select("idb")).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()
+
+
+def _different(a: bytes, hub: bytes) -> tuple[int, int]:
+    """Where ``a`` differs from ``hub``: [begin, end) in ``hub`` after the common prefix and before the common suffix."""
+    n = min(len(a), len(hub))
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(hub[:n], "big")
+    begin = n - (x.bit_length() + 7) // 8
+    n -= begin
+    x = int.from_bytes(a[len(a) - n:], "little") ^ int.from_bytes(hub[len(hub) - n:], "little") if n else 0
+    return begin, len(hub) - (n - (x.bit_length() + 7) // 8)
+
+
+def _spread(body: pa.Array, hub: pa.Array) -> pa.Array:
+    """Places of ``hub`` that stand for a line's differing part, evenly spaced in it."""
+    out = []
+    for a, h in zip(body.to_pylist(), hub.to_pylist()):
+        begin, end = _different(a, h)
+        out.append([begin + (2 * k + 1) * (end - begin) // 6 for k in range(3)])
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _name(key: int, i: int, part: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(part, digest_size=8, key=key.to_bytes(8, "little", signed=True) + bytes([i])).digest(),
+                          "little", signed=True)
+
+
+def _recut(key: pa.Array, body: pa.Array, size: pa.Array, cuts: pa.Array, probe: pa.Array) -> pa.Array:
+    """Keys of a line under its old key: of its segments between ``cuts``, or, for a probe, of the substrings that can equal
+    those of a line of ``size`` bytes."""
+    out = []
+    for k, b, n, c, asks in zip(key.to_pylist(), body.to_pylist(), size.to_pylist(), cuts.to_pylist(), probe.to_pylist()):
+        edge, gap, names = [0, *c, n], len(b) - n, []
+        for i in range(EDITS + 1):
+            shifts = [s for s in range(-EDITS, EDITS + 1) if abs(s) <= i and abs(s - gap) <= EDITS - i] if asks else [0]
+            names += [_name(k, i, b[edge[i] + s:edge[i + 1] + s]) for s in shifts if edge[i] + s >= 0 and edge[i + 1] + s <= len(b)]
+        out.append(names)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _crowded(members: DataFrame, bodies: DataFrame, places: DataFrame) -> DataFrame:
+    """Id pairs (ida, idb) that may match among the lines of crowded keys.
+
+    ``members`` is (key, id, probe, settled, held): a line's place under a key, as one of the key's lines or as a probe, and
+    how many lines the key had before it was cut.
+    """
+    hub = F.arrow_udf(_spread, "array<int>")
+    recut = F.arrow_udf(_recut, "array<long>")
+    salt = F.pmod("id", F.lit(32)).cast("int")
+    body = bodies.groupBy("id").agg(F.min("body").alias("body"))         # lines that share an id meet as twins
+    done = None
+    while True:
+        m = common.checkpointed(members.distinct().join(body, "id").join(places, "id", "left"))
+        base = m.where("NOT probe")
+        hubs = base.groupBy("key").agg(F.min_by("body", "place").alias("hub"), F.count("*").alias("n"))
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        seen = m.withColumn("salt", salt).join(hubs, ["key", "salt"]).withColumn("size", F.octet_length("hub"))
+        at = (seen.where("NOT probe").select("key", "size", F.explode(hub("body", "hub")).alias("at"))
+              .groupBy("key", "size").agg(F.percentile_approx("at", F.array(F.lit(1 / 3), F.lit(2 / 3)), 200).alias("c")))
+        low = F.greatest(F.lit(1), F.least(F.col("c")[0] + 1, F.col("size") - 2))
+        cuts = at.select("key", F.array(low, F.greatest(low + 1, F.least(F.col("c")[1] + 1, F.col("size") - 1))).alias("cuts"),
+                         F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
+        fresh = seen.join(cuts, ["key", "salt"]).withColumn("key", F.explode(recut("key", "body", "size", "cuts", "probe")))
+        fresh = common.checkpointed(fresh.select("key", "id", "probe", "settled", F.col("n").alias("held")).distinct())
+        crowd = fresh.where("NOT probe").groupBy("key").agg(F.count("*").alias("now"))
+        crowd = crowd.where(F.col("now") > CROWD)
+        sized = fresh.join(crowd, "key", "left")
+        again = F.col("now").isNotNull() & (F.col("now") < SHRINK * F.col("held"))
+        pairs = _met(sized.where(~F.coalesce(again, F.lit(False))))
+        done = common.checkpointed(pairs if done is None else done.union(pairs))
+        members = sized.where(again).select("key", "id", "probe", "settled", "held")
+        if not members.limit(1).count():
+            return done
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Pairs of a probe and a line under one key that may match and of which one has no earlier neighbour yet."""
+    ask = members.where("probe").select("key", F.col("id").alias("ida"), F.col("settled").alias("sa"))
+    have = members.where("NOT probe").select("key", F.col("id").alias("idb"), F.col("settled").alias("sb"))
+    return _ordered(ask.join(have, "key").where((F.col("ida") != F.col("idb")) & _can_match("ida", "idb") & ~(F.col("sa") & F.col("sb"))))
+
+
 def _bounds(first: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, check, bound): the earliest first place among a line's confirmed neighbours."""
     both = edges.union(edges.select("idb", "checkb", "ida", "checka"))
@@ -285,7 +380,13 @@ def _bounds(first: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.min("bound").alias("bound")))
 
 
-def removed_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
+def _early(first: DataFrame, edges: DataFrame, twins: DataFrame) -> DataFrame:
+    """(id, settled): lines with an earlier confirmed neighbour."""
+    return (_bounds(first, edges).join(first, ["id", "check"]).where(F.col("bound") < F.col("place"))
+            .select("id").distinct().join(twins, "id", "left_anti").withColumn("settled", F.lit(True)))
+
+
+def removed_lines(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     """(doc_id, text_key, gone: array of line numbers) of the documents that lose lines."""
     rows = _keyed(docs)
     seen = common.checkpointed(places(rows, exact_from))
@@ -294,23 +395,43 @@ def removed_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
     # ids of several lines: each of their lines meets the others here, and none counts as settled for another
     twins = common.checkpointed(first.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     index = common.checkpointed(_keys(rows, probe=False))
-    pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"))
+    pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("n"))
     live = common.checkpointed(_keys(rows, probe=True).join(pivots, "key").where("NOT (p = q AND p = id)"))
-    order = lambda d: d.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()
-    star = order(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
-                 .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
-    star = common.checkpointed(star.union(twins.select(F.col("id").alias("ida"), F.col("id").alias("idb"))))
-    found = common.checkpointed(_confirmed(star, rows))
-    early = (_bounds(first, found).join(first, ["id", "check"]).where(F.col("bound") < F.col("place"))
-             .select("id").distinct().join(twins, "id", "left_anti").withColumn("settled", F.lit(True)))
-    more = live.where("p != q").select("key", "id").distinct().join(early, "id", "left")
-    others = (index.join(live.where("p != q").select("key").distinct(), "key", "left_semi").distinct()
-              .join(early, "id", "left"))
-    rest = order(more.select("key", F.col("id").alias("ida"), F.col("settled").alias("sa"))
-                 .join(others.select("key", F.col("id").alias("idb"), F.col("settled").alias("sb")), "key")
-                 .where((F.col("ida") != F.col("idb")) & _can_match("ida", "idb") & (F.col("sa").isNull() | F.col("sb").isNull())))
-    rest = common.checkpointed(rest.join(star, ["ida", "idb"], "left_anti"))
-    edges = found.union(_confirmed(rest, rows))
+    star = _ordered(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
+                    .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
+    many = live.where(F.col("n") > CROWD).select("key").distinct()       # n counts a line once per chunk that has it
+    lines = common.checkpointed(index.join(many, "key", "left_semi").distinct())
+    crowd = common.checkpointed(lines.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > CROWD).select("key"))
+    members = common.checkpointed(lines.join(crowd, "key", "left_semi").withColumn("probe", F.lit(False)).union(
+        live.join(crowd, "key", "left_semi").select("key", "id").distinct().withColumn("probe", F.lit(True))))
+    crowded = bool(members.limit(1).count())
+    earliest = first.groupBy("id").agg(F.min("place").alias("place"))
+    star = star.union(twins.select(F.col("id").alias("ida"), F.col("id").alias("idb")))
+    if crowded:
+        # the earliest line of a crowded key meets all others, so its true copies settle at once
+        ranked = members.join(earliest, "id")
+        hubs = ranked.where("NOT probe").groupBy("key").agg(F.min_by("id", "place").alias("hub"))
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        met = members.withColumn("salt", F.pmod("id", F.lit(32)).cast("int")).join(hubs, ["key", "salt"])
+        star = star.union(_ordered(met.where((F.col("id") != F.col("hub")) & (_can_match("id", "hub") | _can_match("hub", "id")))
+                                   .select(F.col("id").alias("ida"), F.col("hub").alias("idb"))))
+    star = common.checkpointed(star.distinct())
+    bodies = _bodies(_ids_of(star).union(members.select("id")).distinct(), rows)
+    found = common.checkpointed(_near(star, bodies))
+    early = _early(first, found, twins)
+    settled = lambda d: d.join(early, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    few = live.where(F.col("p") != F.col("q")).select("key", "id").distinct()
+    if crowded:
+        few = few.join(crowd, "key", "left_anti")
+    rest = _met(settled(few.withColumn("probe", F.lit(True)).union(
+        index.join(few.select("key").distinct(), "key", "left_semi").distinct().withColumn("probe", F.lit(False)))))
+    if crowded:
+        rest = rest.union(_crowded(settled(members).withColumn("held", F.lit(1 << 40)), bodies, earliest))
+    rest = common.checkpointed(rest.distinct().join(star, ["ida", "idb"], "left_anti"))
+    more = common.checkpointed(_ids_of(rest).join(bodies.select("id").distinct(), "id", "left_anti"))
+    if more.limit(1).count():
+        bodies = bodies.union(_bodies(more, rows))
+    edges = found.union(_near(rest, bodies))
     bound = (first.join(_bounds(first, edges), ["id", "check"], "left")
              .withColumn("bound", F.least("place", F.coalesce("bound", "place")))
              .where(F.col("last") > F.col("bound")).select("id", "check", "bound"))
@@ -344,14 +465,14 @@ def _with_cut(docs: DataFrame, name: str, exact_from: int) -> DataFrame:
     return part.select(*docs.columns, name).union(whole.select(*docs.columns, name))
 
 
-def dedupe_lines(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
+def dedupe_lines(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, text (what is left)."""
     name = common.fresh(docs, "line_cut")
     return _with_cut(docs, name, exact_from).select(F.col("doc_id").cast("long").alias("doc_id"), f"{name}.n_lines",
                                         f"{name}.n_removed", F.col(f"{name}.kept").alias("text"))
 
 
-def remove(docs: DataFrame, exact_from: int = MIN_BYTES) -> DataFrame:
+def remove(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; documents left blank by that go."""
     name = common.fresh(docs, "line_cut")
     cut = _with_cut(docs, name, exact_from).where((F.col(f"{name}.n_removed") == 0) | F.col(f"{name}.kept").rlike(r"\S"))
@@ -373,25 +494,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup_all_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op1_line_dedup`` with exact copies of every non-blank line removed, however short."""
-    return dedupe_lines(common.read(spark, sf_dir, "documents"), exact_from=1).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """The same query; exact copies of every non-blank line go in ``op1_line_dedup`` as well."""
+    return op1_line_dedup(spark, sf_dir)
 
 
 SQL = f"""
-WITH l AS (SELECT doc_id, i, t, strlen(t) AS n FROM (
-        SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''))),
-f AS (SELECT t, n, min((doc_id, i)) AS place FROM l WHERE n >= {MIN_BYTES} GROUP BY t, n),
-e AS (SELECT a.t, min(b.place) AS bound FROM f a JOIN f b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS}
-      AND levenshtein(a.t, b.t) <= {EDITS} GROUP BY a.t),
-r AS (SELECT l.doc_id, l.i, l.t, e.bound IS NOT NULL AND (l.doc_id, l.i) > e.bound AS gone FROM l LEFT JOIN e ON l.n >= {MIN_BYTES} AND l.t = e.t),
-k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-        string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN k USING (doc_id)"""
-
-ALL_COPIES_SQL = f"""
 WITH l AS (SELECT doc_id, i, t, strlen(t) AS n FROM (
         SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
         FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''))),

@@ -4,10 +4,12 @@ Each document gets integer rule features in one pass over its whole text. Each (
 mergeable quantile sketch per feature: a histogram over log-linear buckets (exact below 64, then 32 buckets per
 power of two, so a bucket is at most 1/32 wide relative to its value). Sketches are rows (group, feature, bucket,
 count); they merge by adding counts, which Spark does with a partial aggregation, so a source with a third of all
-rows costs its task a few hundred rows. A group's quartiles are weighted against those of its language's merged
-sketch (weight ``PRIOR`` documents), so small groups move smoothly towards their language. Fences are Tukey's far
-fences with a least width per feature. They are joined back to the documents, and a document outside any fence
-is rejected.
+rows costs its task a few hundred rows. The 10 %, 50 % and 90 % quantiles of a group, of its language's merged sketch and of
+the whole corpus' are blended by their document counts, so a group moves its fences by the weight it has. The upper
+fence of a rule lies ``WIDTH`` times the distance from the median beyond the 90 % quantile (the lower one likewise); no rule
+has a number of its own. A rate is a count in a document of some size, so a document is out only if its count exceeds
+the fence's by more than ``WIDTH`` standard deviations of a count of that height. Fences are joined back to the
+documents, and a document outside any is rejected.
 
 Only documents that pass the base rules enter the sketches. Defined cases: null or empty text has no words and
 fails the base rules; null ``lang`` or ``source`` is a group of its own; rows repeat as often as they come in;
@@ -25,16 +27,17 @@ from . import common, textkit
 MIN_WORDS = 50              # base rules: fewer words fail
 MAX_REPEAT_PERCENT = 50     # base rules: more words in repeated 3-word windows fail
 SYMBOLS = b"#*$%&|<>"
-PRIOR = 50                  # weight of the language's quartiles, in documents
-WIDTH = 3                   # Tukey's factor for far outliers
-# rule -> (integer rate of the features, least spread, low fence too); rates are floors, so SQL gives the same
-RULES = {
-    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 60, True),
-    "symbol_rate": ("n_symbols * 1000 div nullif(n_words, 0)", 50, False),
-    "dup_line_rate": ("n_dup_lines * 1000 div nullif(n_lines, 0)", 150, False),
-    "repeat_rate": ("n_repeat_words * 1000 div nullif(n_words, 0)", 130, False),
-    "capital_rate": ("n_capitals * 1000 div nullif(word_chars, 0)", 60, False),
+WIDTH = 3                   # distances and deviations beyond which a document is far out
+# rules on counts: (what is counted, in how many); the sketched rate is the count per 1000, a floor, as in the SQL
+COUNTS = {
+    "symbol_rate": ("n_symbols", "n_words"),
+    "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "repeat_rate": ("n_repeat_words", "n_words"),
+    "capital_rate": ("n_capitals", "word_chars"),
 }
+RULES = {"word_length": "word_chars * 100 div nullif(n_words, 0)",                  # a mean, fenced on both sides
+         **{r: f"{n} * 1000 div nullif({size}, 0)" for r, (n, size) in COUNTS.items()}}
+LEVELS = (10, 50, 90)
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 _STRUCT = pa.struct([(c, pa.int64()) for c in FEATURES])
 
@@ -104,48 +107,57 @@ def bucket_floor(b: Column) -> Column:
 def sketch(rows: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n) over rows with the features and ``lang``, ``source``."""
     values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.expr(e)).alias("bucket"))
-                                 for r, (e, _, _) in RULES.items()])).alias("x")
+                                 for r, e in RULES.items()])).alias("x")
     return (rows.where(~base_failed()).select("lang", "source", values)
             .groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count("*").alias("n")))
 
 
-def _quartiles(sk: DataFrame, keys: list[str]) -> DataFrame:
+def _quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rule, q10, q50, q90, n) of the sketches merged per ``keys``."""
     from pyspark.sql import Window as W
+    merged = sk.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "rule")
     cum = F.sum("n").over(w.orderBy("bucket"))
     total = F.sum("n").over(w)
     at = lambda p: F.min(F.when(F.col("cum") >= F.expr(f"(total * {p} + 99) div 100"),
                                 bucket_floor(F.col("bucket"))))
-    return (sk.select(*keys, "rule", "bucket", cum.alias("cum"), total.alias("total"))
-            .groupBy(*keys, "rule").agg(at(25).alias("q1"), at(75).alias("q3"), F.max("total").alias("n")))
+    return (merged.select(*keys, "rule", "bucket", cum.alias("cum"), total.alias("total"))
+            .groupBy(*keys, "rule").agg(*[at(p).alias(f"q{p}") for p in LEVELS], F.max("total").alias("n")))
 
 
 def thresholds(sk: DataFrame) -> DataFrame:
-    """One row per (lang, source) with a low and a high fence per rule."""
-    own = _quartiles(sk, ["lang", "source"])
-    by_lang = sk.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))         # the merge of the sketches
-    wide = _quartiles(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("rule").alias("r"),
-                                               F.col("q1").alias("p1"), F.col("q3").alias("p3"))
-    blend = lambda a, b: F.expr(f"(n * {a} + {PRIOR} * {b}) div (n + {PRIOR})")
-    least = F.create_map(*[x for r, (_, s, _) in RULES.items() for x in (F.lit(r), F.lit(s).cast("long"))])
-    q = (own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("r")))
-         .select("lang", "source", "rule", blend("q1", "p1").alias("a"), blend("q3", "p3").alias("b"))
-         .withColumn("s", WIDTH * F.greatest(F.col("b") - F.col("a"), least[F.col("rule")])))
-    pick = lambda r, c: F.max(F.when(F.col("rule") == r, c))
+    """One row per (lang, source) with an upper fence per rule, and a lower one for the word length."""
+    named = lambda d, x, *keys: d.select(*keys, *[F.col(c).alias(f"{c}{x}") for c in ("rule", "n", *[f"q{p}" for p in LEVELS])])
+    own = named(_quantiles(sk, ["lang", "source"]), "g", "lang", "source")
+    lang = named(_quantiles(sk, ["lang"]), "l", F.col("lang").alias("ll"))
+    corpus = named(_quantiles(sk, []), "c")
+    j = own.join(lang, F.col("lang").eqNullSafe(F.col("ll")) & (F.col("ruleg") == F.col("rulel"))).join(
+        corpus, F.col("ruleg") == F.col("rulec"))
+    q = j.select("lang", "source", F.col("ruleg").alias("rule"), *[
+        F.expr(f"(ng * q{p}g + nl * q{p}l + nc * q{p}c) div (ng + nl + nc)").alias(f"q{p}") for p in LEVELS])
+    # a mean's distance is at least a sketch bucket, below which the quantiles do not resolve
+    least = F.when(F.col("rule") == "word_length", F.expr("q50 div 32 + 1")).otherwise(0)
+    q = q.withColumns({"high": F.col("q90") + WIDTH * F.greatest(F.col("q90") - F.col("q50"), least),
+                       "low": F.col("q10") - WIDTH * F.greatest(F.col("q50") - F.col("q10"), least)})
+    pick = lambda r, c: F.max(F.when(F.col("rule") == r, F.col(c)))
     return q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(
-        *[pick(r, F.col("b") + F.col("s")).alias(f"{r}_high") for r in RULES],
-        *[pick(r, F.col("a") - F.col("s")).alias(f"{r}_low") for r, (_, _, low) in RULES.items() if low])
+        *[pick(r, "high").alias(f"{r}_high") for r in RULES], pick("word_length", "low").alias("word_length_low"))
+
+
+def _inside(expr: str, div: str = "div") -> list[str]:
+    """Conditions of a document that no fence excludes, as SQL."""
+    out = [f"({expr}) <= word_length_high", f"({expr}) >= word_length_low"]
+    for r, (n, size) in COUNTS.items():
+        most = f"({r}_high * {size} {div} 1000)"
+        out.append(f"({n} <= {most} OR ({n} - {most}) * ({n} - {most}) <= {WIDTH * WIDTH} * greatest({most}, 1))")
+    return out
 
 
 def verdict(rows: DataFrame, fences: DataFrame) -> DataFrame:
     """``rows`` with ``base_failed`` and ``kept``; the fence table is small (one row per language and source)
     and its join side is left to the adaptive planner, which broadcasts under its byte limit and splits a
     hot source otherwise."""
-    inside = F.lit(True)
-    for r, (e, _, low) in RULES.items():
-        inside &= F.expr(e) <= F.col(f"{r}_high")
-        if low:
-            inside &= F.expr(e) >= F.col(f"{r}_low")
+    inside = F.expr(" AND ".join(_inside(RULES["word_length"])))
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     return (rows.join(fences, on, "left").withColumn("base_failed", base_failed())
             .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(False)))))
@@ -178,16 +190,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    sql_rate = {r: e.replace(" div ", " // ") for r, (e, _, _) in RULES.items()}
-    low = [r for r, (_, _, lo) in RULES.items() if lo]
-
-    def quart(src, keys):
-        return f"""SELECT {keys}, rule, min(CASE WHEN cum >= (total * 25 + 99) // 100 THEN val END) AS q1,
-          min(CASE WHEN cum >= (total * 75 + 99) // 100 THEN val END) AS q3, max(total) AS n FROM (
-            SELECT {keys}, rule, bucket,
+    rate = {r: e.replace(" div ", " // ") for r, e in RULES.items()}
+
+    def quantiles(keys):
+        by = f"PARTITION BY {keys}, rule" if keys else "PARTITION BY rule"
+        head = f"{keys}, " if keys else ""
+        levels = ", ".join(f"min(CASE WHEN cum >= (total * {p} + 99) // 100 THEN val END) AS q{p}" for p in LEVELS)
+        return f"""SELECT {head}rule, {levels}, max(total) AS n FROM (
+            SELECT {head}rule, bucket,
               CASE WHEN bucket < 64 THEN bucket ELSE (32 + (bucket - 64) % 32) << (((bucket - 64) // 32) + 1) END AS val,
-              sum(n) OVER (PARTITION BY {keys}, rule ORDER BY bucket) AS cum,
-              sum(n) OVER (PARTITION BY {keys}, rule) AS total FROM {src}) GROUP BY {keys}, rule"""
+              sum(n) OVER ({by} ORDER BY bucket) AS cum, sum(n) OVER ({by}) AS total
+            FROM (SELECT {head}rule, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY {head}rule"""
+    blend = ", ".join(f"(o.n * o.q{p} + l.n * l.q{p} + c.n * c.q{p}) // (o.n + l.n + c.n) AS q{p}" for p in LEVELS)
+    least = "CASE WHEN rule = 'word_length' THEN q50 // 32 + 1 ELSE 0 END"
+    pick = lambda r, e: f"max(CASE WHEN rule = '{r}' THEN {e} END)"
+    high, low = f"q90 + {WIDTH} * greatest(q90 - q50, {least})", f"q10 - {WIDTH} * greatest(q50 - q10, {least})"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY i) AS i FROM (
@@ -207,20 +224,16 @@ f AS (SELECT d.k, doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words,
         coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
       FROM d LEFT JOIN r USING (k) LEFT JOIN l USING (k)),
 g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {e} AS v FROM g WHERE NOT base_failed" for r, e in sql_rate.items())}),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {e} AS v FROM g WHERE NOT base_failed" for r, e in rate.items())}),
 s AS (SELECT lang, source, rule, CASE WHEN v < 64 THEN v ELSE
         64 + (length(bin(v)) - 7) * 32 + (v >> (length(bin(v)) - 6)) - 32 END AS bucket, count(*) AS n FROM v GROUP BY ALL),
-sl AS (SELECT lang, rule, bucket, sum(n) AS n FROM s GROUP BY ALL),
-o AS ({quart("s", "lang, source")}), q AS ({quart("sl", "lang")}),
-b AS (SELECT o.lang, o.source, o.rule, (o.n * o.q1 + {PRIOR} * q.q1) // (o.n + {PRIOR}) AS a,
-        (o.n * o.q3 + {PRIOR} * q.q3) // (o.n + {PRIOR}) AS b,
-        CASE o.rule {" ".join(f"WHEN '{r}' THEN {s}" for r, (_, s, _) in RULES.items())} END AS least
-      FROM o JOIN q ON o.lang IS NOT DISTINCT FROM q.lang AND o.rule = q.rule),
-z AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rule = '{r}' THEN b + {WIDTH} * greatest(b - a, least) END) AS {r}_high" for r in RULES)},
-        {", ".join(f"max(CASE WHEN rule = '{r}' THEN a - {WIDTH} * greatest(b - a, least) END) AS {r}_low" for r in low)}
+o AS ({quantiles("lang, source")}), l2 AS ({quantiles("lang")}), c2 AS ({quantiles("")}),
+b AS (SELECT o.lang, o.source, o.rule, {blend}
+      FROM o JOIN l2 l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN c2 c ON o.rule = c.rule),
+z AS (SELECT lang, source, {", ".join(f"{pick(r, high)} AS {r}_high" for r in RULES)}, {pick("word_length", low)} AS word_length_low
       FROM b GROUP BY ALL)
 SELECT doc_id, {", ".join(FEATURES)}, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(
-  {" AND ".join([f"({e}) <= {r}_high" for r, e in sql_rate.items()] + [f"({sql_rate[r]}) >= {r}_low" for r in low])}, false) END AS kept
+  {" AND ".join(_inside(rate["word_length"], "//"))}, false) END AS kept
 FROM g LEFT JOIN z ON g.lang IS NOT DISTINCT FROM z.lang AND g.source IS NOT DISTINCT FROM z.source"""
 
 

@@ -12,5 +12,5 @@ QUERIES = {f.__name__: f for f in (line_dedup.op1_line_dedup, minhash.op2_minhas
                                    vector_codes.op11_vector_codes, whitening.op12_embedding_whitening,
                                    toxicity.op13_toxicity)}
 ORACLE = {"op1_line_dedup": line_dedup.SQL, "op2_minhash_dedup": minhash.SQL, "op7_decontamination": wumanber.SQL, "op8_chat_format": chat.SQL,
-          "op10_quality_rules": quality_rules.SQL, "op1_line_dedup_all_copies": line_dedup.ALL_COPIES_SQL,
+          "op10_quality_rules": quality_rules.SQL, "op1_line_dedup_all_copies": line_dedup.SQL,
           "op11_vector_codes": vector_codes.SQL}

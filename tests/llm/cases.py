@@ -84,9 +84,10 @@ def kept_lines(rows, order, least=32, most=2):
         kept = []
         for x in (d[1] or "").split("\n"):
             b = x.encode()
-            gone = len(b) >= least and (b in first or any(
-                abs(len(b) - len(y)) <= most and edits(b, y) <= most for y in first))
-            if len(b) >= least:
+            ink = bool(space_words(x))
+            gone = ink and (b in first or len(b) >= least and any(
+                len(y) >= least and abs(len(b) - len(y)) <= most and edits(b, y) <= most for y in first))
+            if ink:
                 first.setdefault(b, None)
             if not gone:
                 kept.append(x)
