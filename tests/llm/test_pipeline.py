@@ -51,7 +51,7 @@ def test_stages_take_empty_and_awkward_documents(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_registered_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE[name]})").fetchall()
