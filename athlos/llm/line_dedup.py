@@ -211,35 +211,39 @@ def _distinct(x: Lines, ids: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([order[~shared], many[new]]))
 
 
+def _listed(x: Lines, at: np.ndarray, keys) -> pa.ListArray:
+    """One list of keys per line of ``x``: those of the lines at the places ``at``, empty lists for the others."""
+    part = object.__new__(Lines)
+    part.__dict__.update(x.__dict__, start=x.start[at], end=x.end[at])
+    found = list(keys(part))
+    value, there = np.zeros((len(at), len(found)), np.uint64), np.zeros((len(at), len(found)), bool)
+    for k, (line, key) in enumerate(found):
+        value[line, k], there[line, k] = key, True
+    size = np.zeros(len(x.start) + 1, np.int32)
+    size[at + 1] = there.sum(1)
+    return pa.ListArray.from_arrays(np.cumsum(size, dtype=np.int32), pa.array(value[there].view(np.int64)))
+
+
 def places(rows: DataFrame, exact_from: int = 1) -> DataFrame:
-    """(id, check, doc_id, text_key, line) of every eligible line."""
+    """(id, check, doc_id, text_key, line, own, ask) of every eligible line, in one pass over the texts. A chunk's first
+    occurrence of a line that is compared by edits carries its keys: ``own`` of its segments, ``ask`` of its probes."""
     def run(batches):
         for b in batches:
             for first, data, off in textkit.chunks(b.column("text")):
                 x = Lines(data, off, min(exact_from, MIN_BYTES))
+                ids, check = x.ids(), _second(data, x.start, x.end)
+                order = np.lexsort((check, ids))
+                new = np.ones(len(order), bool)
+                new[1:] = (ids[order][1:] != ids[order][:-1]) | (check[order][1:] != check[order][:-1])
+                new = np.sort(order[new])
+                new = new[x.end[new] - x.start[new] >= MIN_BYTES]
                 at = pa.array(first + x.row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ids().view(np.int64)), pa.array(_second(data, x.start, x.end)),
-                     b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(x.number, pa.int32())],
-                    names=["id", "check", "doc_id", "text_key", "line"])
-
-    return rows.mapInArrow(run, "id long, check long, doc_id long, text_key long, line int")
-
-
-def _keys(rows: DataFrame, probe: bool) -> DataFrame:
-    """(key, id) of the segments or of the probes; a chunk's equal lines are taken once."""
-    def run(batches):
-        for b in batches:
-            for _, data, off in textkit.chunks(b.column("text")):
-                x = Lines(data, off)
-                ids = x.ids()
-                first = _distinct(x, ids)
-                x.start, x.end, ids = x.start[first], x.end[first], ids[first]
-                for line, key in (x.probe_keys() if probe else x.index_keys()):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[line].view(np.int64))],
-                                                     names=["key", "id"])
+                    [pa.array(ids.view(np.int64)), pa.array(check), b.column("doc_id").take(at), b.column("text_key").take(at),
+                     pa.array(x.number, pa.int32()), _listed(x, new, Lines.index_keys), _listed(x, new, Lines.probe_keys)],
+                    names=["id", "check", "doc_id", "text_key", "line", "own", "ask"])
 
-    return rows.select("text").mapInArrow(run, "key long, id long")
+    return rows.mapInArrow(run, "id long, check long, doc_id long, text_key long, line int, own array<long>, ask array<long>")
 
 
 def _can_match(a: str, b: str) -> Column:
@@ -349,9 +353,9 @@ def removed_lines(docs: DataFrame, exact_from: int = 1) -> DataFrame:
     first = common.checkpointed(seen.groupBy("id", "check").agg(F.min(place).alias("place"), F.max(place).alias("last")))
     # ids of several lines: each of their lines meets the others here, and none counts as settled for another
     twins = common.checkpointed(first.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    index = common.checkpointed(_keys(rows, probe=False))
+    index = seen.select(F.explode("own").alias("key"), "id")
     pivots = index.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("n"))
-    live = common.checkpointed(_keys(rows, probe=True).union(index).join(pivots, "key").where("NOT (p = q AND p = id)"))
+    live = common.checkpointed(seen.select(F.explode(F.concat("own", "ask")).alias("key"), "id").join(pivots, "key").where("NOT (p = q AND p = id)"))
     star = _ordered(live.where((F.col("id") != F.col("p")) & (_can_match("id", "p") | _can_match("p", "id")))
                     .select(F.col("id").alias("ida"), F.col("p").alias("idb")))
     many = live.where(F.col("n") > CROWD).select("key").distinct()       # n counts a line once per chunk that has it
