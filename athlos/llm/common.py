@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -31,6 +33,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

@@ -242,6 +242,7 @@ def places(rows: DataFrame, exact_from: int = 1) -> DataFrame:
                     [pa.array(ids.view(np.int64)), pa.array(check), b.column("doc_id").take(at), b.column("text_key").take(at),
                      pa.array(x.number, pa.int32()), _listed(x, new, Lines.index_keys), _listed(x, new, Lines.probe_keys)],
                     names=["id", "check", "doc_id", "text_key", "line", "own", "ask"])
+        common.release()
 
     return rows.mapInArrow(run, "id long, check long, doc_id long, text_key long, line int, own array<long>, ask array<long>")
 
@@ -276,6 +277,7 @@ def _bodies(need: DataFrame, rows: DataFrame) -> DataFrame:
                     [pa.array(ids[first].view(np.int64)), pa.array(_second(data, x.start, x.end)),
                      pa.array([raw[s:e] for s, e in zip(x.start.tolist(), x.end.tolist())], pa.binary())],
                     names=["id", "check", "body"])
+        common.release()
 
     lines = (rows.select("text").mapInArrow(run, "id long, check long, body binary")
              .join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "check"]))

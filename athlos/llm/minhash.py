@@ -72,6 +72,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(size, pa.int64()), lists, pa.array(fp, pa.binary())],
                 names=["doc_id", "n", "sketch", "fp"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
@@ -91,6 +92,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
                     fp, sets, held = [], [], 0
             if fp:
                 yield _set_batch(fp, sets)
+        common.release()
 
     return docs.select("text").mapInArrow(run, _SET).dropDuplicates(["fp"])
 

@@ -78,6 +78,7 @@ def _features(col: pa.Array) -> pa.Array:
                 for k in range(3):
                     covered[k:k + len(t)] |= hit
                 block[i, 4] = covered.sum()
+    common.release()
     return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(len(FEATURES))], names=FEATURES)
 
 
