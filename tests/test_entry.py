@@ -1,7 +1,7 @@
 import __spark_entry__ as ent
 
 RATIONALE_ROWS_ONLY = {"train_compare", "feature_importance", "score_batch", "evaluate_batch", "stream_score",
-                       "performance_regression"}
+                       "performance_regression", "boosting_fit", "smote_recall"}
 
 
 def test_entry_runs_on_smoke_data(spark):
@@ -19,8 +19,8 @@ def test_every_query_has_an_oracle_except_model_fits():
 
 
 def test_no_query_name_breaks_naming_rules():
-    from athlos.plans import catalog, parity
-    for name in {**catalog.QUERIES, **parity.QUERIES}:
+    from athlos.plans import catalog, growing, learning, parity
+    for name in {**catalog.QUERIES, **parity.QUERIES, **learning.QUERIES, **growing.QUERIES}:
         assert not name.startswith("op") and "pipeline" not in name
 
 
