@@ -38,6 +38,7 @@ COUNTS = {
 RULES = {"word_length": "word_chars * 100 div nullif(n_words, 0)",                  # a mean, fenced on both sides
          **{r: f"{n} * 1000 div nullif({size}, 0)" for r, (n, size) in COUNTS.items()}}
 LEVELS = (10, 50, 90)
+FENCE_BYTES = 8 << 20       # a larger fence table is not broadcast
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 _STRUCT = pa.struct([(c, pa.int64()) for c in FEATURES])
 
@@ -179,10 +180,15 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Texts are not shuffled: features are computed in the
-    sketch pass and again in the filtering pass."""
+    """The documents that pass, with their columns. Texts are not shuffled while the fence table has up to
+    ``FENCE_BYTES``: features are computed in the sketch pass, which runs when this is called, and again in the
+    filtering pass. A larger fence table is joined by a shuffle."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    fences = thresholds(sketch(_feature_rows(docs)))
+    fences = common.checkpointed(thresholds(sketch(_feature_rows(docs))))
+    names = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("t_lang", "t_source"))
+    held = fences.agg(F.sum(names + 16 * len(fences.columns))).first()[0] or 0
+    if held <= FENCE_BYTES:
+        fences = F.broadcast(fences)
     return verdict(_feature_rows(docs, whole), fences).where("kept").select("document.*")
 
 
