@@ -34,6 +34,7 @@ from . import common, textkit
 
 CACHE_PIECES = 200_000      # cached pieces per generation in a Python worker
 CACHE_CHARS = 48            # longer pieces are not kept
+DECODE_IDS = 1 << 16        # ids turned into bytes at a time
 _CUT = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
 
@@ -238,6 +239,34 @@ def decode(rows: DataFrame, vocabulary: str, text: bool = False) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, schema)
 
 
+def encode_decoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, decoded_sha256): ``encode`` and the digest of ``decode`` in one step, so a task
+    needs one Python worker and ids cross to the JVM once. A null text has no ids and the digest of no bytes."""
+    tokens = load_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json(tokens), tokens))
+
+    def run(batches):
+        spec, table = shared.value
+        enc = worker_encoder(spec)
+        for b in batches:
+            for first, _, off in textkit.chunks(b.column("text")):
+                part = b.slice(first, len(off) - 1)
+                ids = enc.encode(as_texts(part.column("text")))
+                digest = []
+                for x in ids:
+                    decoded = hashlib.sha256()
+                    for a in range(0, len(x), DECODE_IDS):
+                        decoded.update(b"".join(map(table.__getitem__, x[a:a + DECODE_IDS].tolist())))
+                    digest.append(decoded.hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), lists(ids), pa.array(digest, pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        common.release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
