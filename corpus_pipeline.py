@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from athlos.llm import bpe, common, line_dedup, minhash, quality_rules, wumanber
 from athlos.session import ensure_checkpoint_dir
@@ -42,9 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the decoded bytes."""
     common.bound_batches(spark)
-    vocabulary = bpe.default_vocabulary()
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_decoded(docs, bpe.default_vocabulary())
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_dedup", near_duplicates),
