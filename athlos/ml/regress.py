@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import split
+from ..session import spread
 from ..spec import SEED, SENSOR_COLUMNS, TEST_SHARE
 from .features import FeatureLayout, derive, fit_feature_stages
 
@@ -30,17 +31,20 @@ def performance_regression(df: DataFrame, target: str = "performance_score", id_
     the column ``features`` (default: a forest of ``trees`` trees of ``depth``)."""
     d = derive(df.where(F.col(target).isNotNull()))
     d = d.withColumn("__strata", F.coalesce(F.col(strata).cast("string"), F.lit("?")))
-    sp = split.cutoff_split(d, "__strata", id_col, test_share, seed, folds=None).checkpoint()
+    sp = split.cutoff_split(d, "__strata", id_col, test_share, seed, folds=None)
+    sp = spread(sp, id_col)
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
     layout = FeatureLayout([c for c in numeric if c in d.columns], [c for c in categorical if c in d.columns])
     if estimator is None:
         estimator = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
     last = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: target})
     model = Pipeline(stages=fit_feature_stages(train, layout) + [last]).fit(train)
-    pred = model.transform(test)
+    pred = model.transform(test).select(target, "prediction").persist()
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
     rmse, r2 = ev.setMetricName("rmse").evaluate(pred), ev.setMetricName("r2").evaluate(pred)
     spark = df.sparkSession
-    metrics = spark.createDataFrame([(title, float(rmse), float(r2), train.count(), test.count())],
+    n_test = pred.count()
+    pred.unpersist()
+    metrics = spark.createDataFrame([(title, float(rmse), float(r2), train.count(), n_test)],
                                     "model string, rmse double, r2 double, n_train long, n_test long")
     return model, metrics
