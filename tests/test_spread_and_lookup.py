@@ -36,3 +36,28 @@ def test_rows_of_few_partitions_are_spread(spark):
     place = lambda d: {(r["id"], r["p"]) for r in d.select("id", F.spark_partition_id().alias("p")).collect()}
     assert place(out) == place(spread(few.orderBy(F.desc("id")).coalesce(1), "id"))
     assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == 1
+
+
+def test_boosting_blocks_keep_all_cores_busy():
+    from athlos.ml.boosting import whole_rounds
+    assert [whole_rounds(p, 8) for p in (1, 8, 9, 15, 16, 100)] == [8, 8, 8, 8, 16, 96]
+
+
+def test_paths_by_columns_match_a_walk_per_row():
+    import numpy as np
+
+    from athlos.ml import boosting
+    r = np.random.default_rng(0)
+    bins = r.integers(0, 8, (40, 5)).astype(np.uint8)
+    for depth in (1, 3, 5):
+        n = 2 ** depth - 1
+        tree = boosting.Round(r.integers(0, 5, (3, n)), np.where(r.random((3, n)) < 0.2, 255, r.integers(0, 8, (3, n))), r.normal(0, 1, (3, n + 1)))
+        for levels in range(depth + 1):
+            got = boosting.descend(bins, tree, levels)
+            for c in range(3):
+                for i in range(40):
+                    node = 0
+                    for level in range(levels):
+                        at = 2 ** level - 1 + node
+                        node = 2 * node + int(bins[i, tree.feature[c, at]] > tree.cut[c, at])
+                    assert got[i, c] == node
