@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from athlos import session
 from athlos.functions import joins
 from athlos.operators import labels
 from athlos.session import spread
@@ -27,15 +28,16 @@ def test_lookup_is_broadcast_whatever_its_estimated_size(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_rows_of_few_partitions_are_spread(spark):
+def test_rows_of_few_partitions_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", 64)
     cores = spark.sparkContext.defaultParallelism
-    few = spark.range(4096 * cores).withColumn("x", F.col("id") * 2).coalesce(1)
+    few = spark.range(64 * cores).withColumn("x", F.col("id") * 2).coalesce(1)
     out = spread(few, "id")
     assert out.rdd.getNumPartitions() == cores and out.columns == ["id", "x"]
     assert out.count() == few.count() and out.exceptAll(few).count() == 0
     place = lambda d: {(r["id"], r["p"]) for r in d.select("id", F.spark_partition_id().alias("p")).collect()}
     assert place(out) == place(spread(few.orderBy(F.desc("id")).coalesce(1), "id"))
-    assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == 1
+    assert spread(spark.range(60).coalesce(1), "id").rdd.getNumPartitions() == 1
 
 
 def test_boosting_blocks_keep_all_cores_busy():
