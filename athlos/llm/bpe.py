@@ -34,6 +34,8 @@ from . import common, textkit
 
 CACHE_PIECES = 200_000      # cached pieces per generation in a Python worker
 CACHE_CHARS = 48            # longer pieces are not kept
+PIPELINE_PIECES = 40_000    # the same in the pipeline, whose JVMs have grown over four stages before
+ENCODE_PIECES = 1 << 13     # pieces the library encodes at a time: its results are far larger than the ids taken from them
 DECODE_IDS = 1 << 16        # ids turned into bytes at a time
 _CUT = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
@@ -94,24 +96,31 @@ def id_bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts in one Python worker. ``made`` turns the ids of a piece into the value that is kept for it."""
 
-    def __init__(self, spec: str, made=id_bytes):
+    def __init__(self, spec: str, made=id_bytes, keep: int | None = None):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.made, self.young, self.old = made, {}, {}
+        self.made, self.keep, self.young, self.old = made, keep or CACHE_PIECES, {}, {}
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text; all but the first stand for a space and themselves."""
         return _CUT.split(text) if _RUN.search(text) else text.split(" ")
 
+    def _made(self, pieces: list[str]) -> list:
+        out = []
+        for a in range(0, len(pieces), ENCODE_PIECES):
+            got = self.tokenizer.encode_batch_fast(pieces[a:a + ENCODE_PIECES], add_special_tokens=False)
+            out += [self.made(e.ids) for e in got]
+        return out
+
     def values(self, texts: list[str | None]):
         """(pieces of each text, values of first pieces, values of the other pieces).
 
-        The cache has two generations of up to CACHE_PIECES pieces of up to CACHE_CHARS characters. A piece that is met
+        The cache has two generations of up to ``keep`` pieces of up to CACHE_CHARS characters. A piece that is met
         again moves to the young one; when that is full it becomes the old one, and what was left in the old one goes.
         """
-        if len(self.young) > CACHE_PIECES:
+        if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         cut = [self._pieces(t) if t else [] for t in texts]
@@ -123,8 +132,7 @@ class Encoder:
             young[x] = old.pop(x)
         new = list(new.difference(young))
         heads = list({p[0] for p in cut if p})
-        got = self.tokenizer.encode_batch_fast([" " + x for x in new] + heads, add_special_tokens=False)
-        made = [self.made(e.ids) for e in got]
+        made = self._made([" " + x for x in new] + heads)
         for x, v in zip(new, made):
             (young if len(x) <= CACHE_CHARS else long)[x] = v
         return cut, dict(zip(heads, made[len(new):])), _Both(young, long) if long else young
@@ -181,11 +189,11 @@ def character_offsets(text: str, ids: np.ndarray, size: np.ndarray) -> tuple[np.
 _MEMO: dict = {}
 
 
-def worker_encoder(spec: str, kind: str = "ids", made=id_bytes) -> Encoder:
+def worker_encoder(spec: str, kind: str = "ids", made=id_bytes, keep: int | None = None) -> Encoder:
     """One encoder per Python worker, vocabulary and kind of value."""
-    key = (hash(spec), kind)
+    key = (hash(spec), kind, keep)
     if key not in _MEMO:
-        _MEMO[key] = Encoder(spec, made)
+        _MEMO[key] = Encoder(spec, made, keep)
     return _MEMO[key]
 
 
@@ -246,8 +254,9 @@ def encode_decoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json(tokens), tokens))
 
     def run(batches):
+        common.release()                                    # what an earlier stage left in this worker
         spec, table = shared.value
-        enc = worker_encoder(spec)
+        enc = worker_encoder(spec, keep=PIPELINE_PIECES)
         for b in batches:
             for first, _, off in textkit.chunks(b.column("text")):
                 part = b.slice(first, len(off) - 1)
